@@ -25,7 +25,8 @@ PURCHASE = "purchase"
 
 def _lines(f: Frames) -> DataFrame:
     return f["lineitem"].select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_shipdate",
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
+        F.to_date("l_shipdate").alias("ship_day"),
         money("l_quantity").alias("quantity"),
         money("l_extendedprice").alias("gross"),
         rate("l_discount").alias("discount"),
@@ -35,7 +36,8 @@ def _lines(f: Frames) -> DataFrame:
 
 def _orders(f: Frames) -> DataFrame:
     return f["orders"].select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority",
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
+        F.to_date("o_orderdate").alias("o_orderdate"),
         money("o_totalprice").alias("order_total"),
     )
 
@@ -357,8 +359,7 @@ def item_sales(f: Frames, item_key: str = "l_partkey", period: Column | None = N
         # One row per calendar day, whatever the number of lines, so this side is broadcast.
         days = F.broadcast(f["stg_dates"].filter(where).select("d_day"))
         return (
-            f["stg_lines"].withColumn("ship_day", F.to_date("l_shipdate"))
-            .join(days, F.col("ship_day") == F.col("d_day"))
+            f["stg_lines"].join(days, F.col("ship_day") == F.col("d_day"))
             .groupBy(F.col(key).alias("p_partkey"))
             .agg(
                 F.countDistinct("l_orderkey").alias("n_orders"),

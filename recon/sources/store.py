@@ -26,10 +26,13 @@ class TableStore:
         self.root = f"{shared_dir(spark)}/recon-{uuid.uuid4().hex}"
         self._written: dict[str, DataFrame] = {}
 
+    def location(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Return table ``name``, writing it first if this store has not seen it."""
         if name not in self._written:
-            path = f"{self.root}/{name}"
+            path = self.location(name)
             frame = build()
             frame.write.parquet(path)
             self._written[name] = self.spark.read.schema(frame.schema).parquet(path)
