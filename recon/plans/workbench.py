@@ -85,7 +85,7 @@ class Workbench:
         }
         self.store.tables(builds)
 
-    def _per_defect(self, build: Callable[[Defect, Pipeline], DataFrame]) -> DataFrame:
+    def per_defect(self, build: Callable[[Defect, Pipeline], DataFrame]) -> DataFrame:
         self.write_reports()
         return stacked(
             [
@@ -105,7 +105,7 @@ class Workbench:
                 F.col("expected").cast("decimal(38,4)").alias("expected"),
             )
 
-        return self.store.table("flagged", lambda: self._per_defect(one))
+        return self.store.table("flagged", lambda: self.per_defect(one))
 
     def gold_flagged(self) -> DataFrame:
         """All keys the gold diagnostic flags on the trap, for every defect."""
@@ -113,7 +113,7 @@ class Workbench:
         def one(d: Defect, p: Pipeline) -> DataFrame:
             return d.gold(p, self.trap(d.defect_id), p.staging(self.sources))
 
-        return self.store.table("gold_flagged", lambda: self._per_defect(one))
+        return self.store.table("gold_flagged", lambda: self.per_defect(one))
 
     def seeds(self) -> DataFrame:
         classes = self.defects.select("defect_id", "class_index")
@@ -140,7 +140,7 @@ class Workbench:
                 mine = list(dict.fromkeys(keys.get(d.defect_id, [])))
                 return walk.suspect_sides(mine, self.trap(d.defect_id), self.clean(p.pipeline_id), p.pk)
 
-            found = walk.suspect_rows(self._per_defect(one), ["defect_id", "flagged_pk"])
+            found = walk.suspect_rows(self.per_defect(one), ["defect_id", "flagged_pk"])
             return self.suspects().join(F.broadcast(found), ["defect_id", "flagged_pk"])
 
         return self.store.table("suspect_rows", build)
