@@ -48,6 +48,11 @@ def times(count: Column) -> Column:
     return F.coalesce(count, F.lit(1).cast("bigint"))
 
 
+def repeated(amount: Column, copies: Column | None) -> Column:
+    """An amount counted once per copy; untouched, and so in its narrow type, without copies."""
+    return amount if copies is None else amount * copies
+
+
 def yyyymm(day: Column) -> Column:
     return (F.year(day) * 100 + F.month(day)).cast("int")
 

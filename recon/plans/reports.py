@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recon.functions.exact import (
-    discounted, mean, money, rate, times, total, total_or_zero,
+    discounted, mean, money, rate, repeated, times, total, total_or_zero,
 )
 from recon.operators.joins import row_counts, salted_lookup
 from recon.plans.spec import Frames, Pipeline, Step, keyed
@@ -316,16 +316,15 @@ def part_margin(f: Frames, order_key: str = "o_orderkey", amount: str = "net") -
     lines = f["stg_lines"].select("l_orderkey", *keys, "l_linenumber", "quantity", "gross", "net")
     if order_key == "o_orderkey":
         open_orders = f["stg_orders"].select("o_orderkey")
-        open_lines = lines.join(open_orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
-            "copies", F.lit(1).cast("bigint")
-        )
+        open_lines, n = lines.join(open_orders, F.col("l_orderkey") == F.col("o_orderkey")), None
     else:
         copies = row_counts(f["stg_orders"], order_key, "order_key")
         spread = F.struct("l_partkey", "l_suppkey", "l_linenumber")
         open_lines = salted_lookup(lines, copies, "l_orderkey", "order_key", spread, "inner")
-    n = F.col("copies")
+        n = F.col("copies")
     calc = open_lines.groupBy(*keys).agg(
-        F.sum(F.col("quantity") * n).alias("quantity"), F.sum(F.col(amount) * n).alias("amount")
+        F.sum(repeated(F.col("quantity"), n)).alias("quantity"),
+        F.sum(repeated(F.col(amount), n)).alias("amount"),
     )
     ref = (
         lines.join(
@@ -474,15 +473,15 @@ def supplier_sales(f: Frames, line_key: str = "l_suppkey", with_events: bool = F
         F.sum("net").alias("ref_net")
     )
     out = f["stg_suppliers"].join(calc, "s_suppkey", "left").join(ref, "s_suppkey", "left")
-    n = F.lit(1).cast("bigint")
+    n = None
     if with_events:
         out = out.join(row_counts(f["events"], "user_id", "s_suppkey"), "s_suppkey", "left")
         n = times(F.col("copies"))
     return out.select(
         "s_suppkey", "supplier_name", "nation", "region",
-        (times(F.col("line_rows")) * n).alias("n_lines"),
-        total(F.col("units") * n).alias("units_calc"),
-        total_or_zero(F.col("net") * n).alias("revenue_calc"),
+        repeated(times(F.col("line_rows")), n).alias("n_lines"),
+        total(repeated(F.col("units"), n)).alias("units_calc"),
+        total_or_zero(repeated(F.col("net"), n)).alias("revenue_calc"),
         total_or_zero(F.col("ref_net")).alias("revenue_ref"),
     )
 

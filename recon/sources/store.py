@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recon.session import shared_dir
 
-CONCURRENT_WRITES = 4
+CONCURRENT_WRITES = 8
 
 
 class TableStore:
