@@ -25,22 +25,19 @@ def load_csv_checked(
     """CSV (plain or gzip) with a fixed column list; rows with another field count are refused.
 
     A row with a wrong number of fields or a value that does not fit its declared type lands in
-    ``dropped`` whole. Column pruning is off: a pruned parse would not see the field count.
+    ``dropped`` whole. Lines are parsed as a column, so the field count is checked whichever
+    columns are used later.
     """
     with_bad = T.StructType([*columns.fields, T.StructField(BAD_ROW, T.StringType())])
-    read = (
-        spark.read.schema(with_bad)
-        .option("sep", sep).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD_ROW)
-        .option("enforceSchema", True)
-        .option("columnPruning", False)
-        .csv(path)
-    )
-    good = read.filter(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_ROW}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_bad.fields)
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    read = lines.select("value", F.from_csv("value", ddl, options).alias("row"))
+    good = read.filter(F.col(f"row.{BAD_ROW}").isNull()).select("row.*").drop(BAD_ROW)
     if row_filter is not None:
         good = good.filter(row_filter)
-    refused = read.filter(F.col(BAD_ROW).isNotNull()).select(BAD_ROW, columns.fieldNames()[0])
-    return Loaded(good, refused)
+    refused = read.filter(F.col(f"row.{BAD_ROW}").isNotNull())
+    return Loaded(good, refused.select(F.col("value").alias(BAD_ROW), f"row.{columns.fieldNames()[0]}"))
 
 
 def load_tsv_padded(
