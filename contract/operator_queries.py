@@ -251,7 +251,7 @@ def missing_rows(s):
     pipeline = PIPELINES["part_margin"]
     lines = pipeline.staging(s)["stg_lines"]
     missing = reconcile.missing_rows(lines, pipeline.report(s), pipeline.keys)
-    return missing.groupBy("flagged_pk").agg(F.count("*").alias("n_lines"))
+    return missing.withColumnRenamed("n_rows", "n_lines")
 
 
 @query(SourceTables)

@@ -155,9 +155,14 @@ def row_mismatch(
 
 
 def missing_rows(source: DataFrame, report: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Source rows that never reached the report."""
-    reached = report.select(*keys)
-    return source.join(reached, list(keys), "left_anti").select(key_text(keys).alias("flagged_pk"))
+    """Source keys that never reached the report, with the number of source rows they have.
+
+    The source is reduced to its keys first: the aggregate uses the partitioning the join needs
+    anyway, and a key held by very many rows reaches the join as one row.
+    """
+    held = source.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    missing = held.join(report.select(*keys), list(keys), "left_anti")
+    return missing.select(key_text(keys).alias("flagged_pk"), "n_rows")
 
 
 def schema_catalog(frames: dict[str, DataFrame]) -> list[tuple[str, int, str, str]]:

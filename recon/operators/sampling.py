@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recon.functions.text import stable_order
+from recon.operators.joins import salted_lookup
 
 # The seed grid and the size of a planted sample.
 SEED_START, SEED_PER_CLASS, SEED_PER_EPISODE = 9001, 10_007, 911
@@ -52,10 +53,10 @@ def stratified_split(
     """The first episodes of every class go to the test split, at least one per class.
 
     ``number`` counts from 0 within the class. Class sizes are an aggregate with one row per
-    class; rows are not ranked again, so a large class needs no sort.
+    class, looked up with salt; rows are not ranked again, so a large class needs no sort.
     """
-    sizes = episodes.groupBy(group).agg(F.count("*").alias("_size"))
-    sized = episodes.join(sizes, group)
+    sizes = episodes.groupBy(F.col(group).alias("_class")).agg(F.count("*").alias("_size"))
+    sized = salted_lookup(episodes, sizes, group, "_class", F.col(number))
     split = F.when(F.col(number) < test_size(F.col("_size")), "test").otherwise("train")
     return sized.withColumn("split", split).drop("_size")
 

@@ -148,7 +148,7 @@ def calibrated(cycles: DataFrame, planted: DataFrame | None = None, scale: int =
     """
     wrong = F.lit(False)
     if planted is not None:
-        marked = F.broadcast(planted.select("ID_CICLO", F.lit(True).alias("_planted")))
+        marked = planted.select("ID_CICLO", F.lit(True).alias("_planted"))
         cycles = cycles.join(marked, "ID_CICLO", "left")
         wrong = F.coalesce(F.col("_planted"), F.lit(False))
     mortgage = F.col("GARANTIA_TIPO") == "HIPOTECA"
@@ -187,7 +187,7 @@ def calibrated(cycles: DataFrame, planted: DataFrame | None = None, scale: int =
 
 def risk_tables(wide: DataFrame, all_contracts: DataFrame) -> dict[str, DataFrame]:
     """The eight normalised tables, each a projection of the wide one."""
-    used = all_contracts.join(wide.select("ID_CONTRATO"), "ID_CONTRATO", "left_semi")
+    used = all_contracts.join(wide.select("ID_CONTRATO").distinct(), "ID_CONTRATO", "left_semi")
     out = {
         "t1_contratos": used.withColumns({"SECTOR": F.lit("S1"), "DIMENSION": F.lit("MD")}),
         "t3_colaterales": used,
@@ -212,7 +212,7 @@ def cross_table_invariant(t7: DataFrame, t2: DataFrame, eps: float = EPS_FORMULA
 def key_extraction(t7: DataFrame, t2: DataFrame, suspects: DataFrame) -> DataFrame:
     """Reported exposures of the suspect cycles beside their inputs and the expected value."""
     key = ["ID_CICLO", "ID_CONTRATO", "MES"]
-    few = F.broadcast(suspects.select("ID_CICLO"))
+    few = suspects.select("ID_CICLO")
     mine = t7.join(few, "ID_CICLO", "left_semi")
     theirs = t2.join(few, "ID_CICLO", "left_semi")
     return mine.join(theirs, key).withColumn(
@@ -222,7 +222,7 @@ def key_extraction(t7: DataFrame, t2: DataFrame, suspects: DataFrame) -> DataFra
 
 def invariant_verdict(flagged: DataFrame, suspects: DataFrame) -> DataFrame:
     """Per check: caught, false positive and row counts, from (check_name, side, ID_CICLO)."""
-    known = F.broadcast(suspects.select("ID_CICLO", F.lit(True).alias("_known")))
+    known = suspects.select("ID_CICLO", F.lit(True).alias("_known"))
     trap, clean = F.col("side") == "trap", F.col("side") == "clean"
     return (
         flagged.join(known, "ID_CICLO", "left").groupBy("check_name").agg(

@@ -86,7 +86,8 @@ class Defect:
     def gold(self, pipeline: Pipeline, reported: DataFrame, staging: Frames) -> DataFrame:
         """The short diagnostic: a row invariant on the report, or an anti-join to a source."""
         if self.check[0] == "missing":
-            return missing_rows(staging[self.check[1]], reported, pipeline.keys)
+            missing = missing_rows(staging[self.check[1]], reported, pipeline.keys)
+            return missing.select("flagged_pk")
         calc, ref = self.check[1:]
         return row_mismatch(reported, pipeline.keys, calc, ref, self.eps)
 
