@@ -574,7 +574,6 @@ WHERE s.defect_id = '{d}'""")
 
 
 SQL["suspect_rows"] = _suspect_rows()
-_M, _D = r.DBL, "DATE"
 _ORDER_STAGE = ("orders", {
     "o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_orderstatus": "o_orderstatus",
     "o_orderpriority": "o_orderpriority", "o_orderdate": "CAST(o_orderdate AS DATE)",
