@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recon.llm import packing, token_counts, toxicity
+from recon.llm import kd_search, packing, token_counts, toxicity
 from recon.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -29,12 +29,16 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), vocabulary(PIECE_MODEL))
 
 
+def op8_kd_search(spark: SparkSession, folder: str) -> DataFrame:
+    return kd_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary(WORD_MODEL))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op10_packing)}
+    out = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op8_kd_search, op10_packing)}
     return out
 
 

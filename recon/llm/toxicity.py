@@ -6,7 +6,7 @@ zero, so a fitted model is a short list of (coordinate, weight) that is cheap to
 
 Defined results: a text that is null or has no words has no features and scores by the bias alone; a
 null doc_id is kept; repeated rows are scored each by itself; without labelled rows every score is
-0.5 less a little, so that nothing is predicted toxic; columns other than those named are not read.
+just under 0.5, so that nothing is predicted toxic; columns other than those named are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ SHARD_ROWS = 4_000
 @dataclass(frozen=True)
 class Settings:
     bits: int = 20
-    alpha: float = 0.1
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
-    l2: float = 0.1
-    epochs: int = 4
+    l1: float = 6.0
+    l2: float = 1.0
+    bias_rate: float = 0.3
+    epochs: int = 8
     max_labelled: int = MAX_LABELLED
 
 
@@ -69,26 +70,32 @@ def features(array: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[float, np.ndarray, np.ndarray]:
-    """Follow the regularised leader over sets of coordinates; the bias is not regularised."""
-    size = 1 << s.bits
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    """Follow the regularised leader over sets of coordinates; bias, nonzero coordinates, their weights.
+
+    The bias starts at the log odds of the labels, so that the first texts do not push every coordinate
+    they have, and is not regularised.
+    """
+    z, n = np.zeros(1 << s.bits), np.zeros(1 << s.bits)
+    share = (labels.sum() + 0.5) / (len(labels) + 1)
+    bias, moved = float(np.log(share / (1 - share))), 0.0
 
     def weight(at: np.ndarray) -> np.ndarray:
-        penal = np.where(at == size, 0.0, s.l1)
-        shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - penal, 0)
-        return -shrunk / ((s.beta + np.sqrt(n[at])) / s.alpha + np.where(at == size, 0.0, s.l2))
+        shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - s.l1, 0)
+        return -shrunk / ((s.beta + np.sqrt(n[at])) / s.alpha + s.l2)
 
     order = np.random.default_rng(0)
     for _ in range(s.epochs):
         for i in order.permutation(len(rows)):
             at = rows[i]
             w = weight(at)
-            error = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - labels[i]
+            error = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - labels[i]
             grown = np.sqrt(n[at] + error * error) - np.sqrt(n[at])
             z[at] += error - grown / s.alpha * w
             n[at] += error * error
-    every = np.flatnonzero(np.abs(z[:size]) > s.l1)
-    return float(weight(np.array([size]))[0]), every, weight(every)
+            moved += error * error
+            bias -= s.bias_rate * error / (1 + np.sqrt(moved))
+    kept = np.flatnonzero(np.abs(z) > s.l1)
+    return bias, kept, weight(kept)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
@@ -130,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
         rows, marks = [], []
         for batch in batches:
             marks += batch.column("label").to_pylist()
-            rows += [np.append(np.asarray(v, np.int64), 1 << settings.bits) for v in batch.column("at").to_numpy(False)]
+            rows += [np.asarray(v, np.int64) for v in batch.column("at").to_numpy(False)]
         if rows:
             bias, at, w = ftrl(rows, np.asarray(marks, float), settings)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w, bias))],
