@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -69,6 +69,14 @@ def slices(batches, limit: int = SLICE_BYTES, column: str = "text") -> Iterator[
             yield batch.slice(start)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often and wherever ``use`` names it.
+
+    An expression named inside a lambda is otherwise computed anew for every element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def fits(frame: DataFrame, rows: int) -> bool:
     """Whether a frame has at most so many rows; reads no more of it than that needs."""
     return frame.limit(rows + 1).count() <= rows

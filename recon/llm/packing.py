@@ -13,8 +13,11 @@ no pieces. Each id lies in exactly one piece. sequence_id is unique, not gapless
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,66 +31,105 @@ END_ID = 2
 #: Left-overs a pool has on average.
 POOL = 4_000
 #: Words whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 class WordEncoder:
     """Ids of a text from the ids of its words, each distinct word encoded once.
 
-    The tokenizer drops white space before it merges, and its special strings hold none, so a text's
-    ids are those of its words in a row. Words are cut at ASCII white space only.
+    The tokenizer lower-cases, drops white space before it merges, and its special strings hold none,
+    so a text's ids are those of its words in a row. Words are cut at ASCII white space.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
+        # The same merges without normaliser and splitting, for words that these leave as they are.
+        self._bare = Tokenizer.from_file(path)
+        self._bare.no_padding()
+        self._bare.no_truncation()
+        self._bare.normalizer = None
+        self._bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._reset()
 
     def _reset(self) -> None:
-        self._index: dict[str, int] = {}
+        self._index: dict[bytes, int] = {}
         self._ids = np.empty(0, np.uint32)
         self._ends = np.zeros(1, np.int64)
 
-    def _learn(self, new: list[str]) -> None:
-        found = [x.ids for x in self._tokenizer.encode_batch(new, add_special_tokens=False)]
+    def _learn(self, new: list[bytes]) -> None:
+        plain, stems, marks, other = [], [], [], []
+        for raw in new:
+            word = raw.decode()
+            stem = word.rstrip(_CLOSING)
+            if _one_letter_run(word):
+                plain.append(word)
+            elif len(stem) < len(word) and stem[-1:].isascii() and _one_letter_run(stem):
+                stems.append(stem)
+                marks.append(word[len(stem):])
+            else:
+                other.append(word)
+        bare = [x.ids for x in self._bare.encode_batch_fast(plain + stems, add_special_tokens=False)]
+        ends = {m: self._bare.encode(m, add_special_tokens=False).ids for m in set(marks)}
+        found = bare[: len(plain)] + [x + ends[m] for x, m in zip(bare[len(plain):], marks)]
+        found += [x.ids for x in self._tokenizer.encode_batch_fast(other, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        self._index.update(zip(new, range(len(self._index), len(self._index) + len(new))))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        words = chain(plain, map(str.__add__, stems, marks), other)
+        self._index.update(zip((w.encode() for w in words), range(len(self._index), len(self._index) + len(new))))
         self._ids = np.concatenate([self._ids, flat])
         self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
 
+    @staticmethod
+    def _split(text: str) -> list[bytes]:
+        raw = text.encode()
+        # Lower case of ASCII only. With capitals made small, a special string could arise that was not there.
+        return raw.split() if b"<|" in raw else raw.lower().split()
+
     def __call__(self, values: list[str]) -> list[np.ndarray]:
-        split = [v.translate(_SPACES).split(" ") for v in values]
-        new = {w for ws in split for w in ws} - self._index.keys()
+        split = [self._split(v) for v in values]
+        new = set().union(*split) - self._index.keys()
         if len(self._index) + len(new) > REMEMBERED:
             self._reset()
-            new = {w for ws in split for w in ws}
+            new = set().union(*split)
         if new:
             self._learn(list(new))
         return [self._one(ws) for ws in split]
 
-    def _one(self, ws: list[str]) -> np.ndarray:
+    def _one(self, ws: list[bytes]) -> np.ndarray:
         at = np.fromiter(map(self._index.__getitem__, ws), np.int64, len(ws))
         start, size = self._ends[at], self._ends[at + 1] - self._ends[at]
-        total = int(size.sum())
         offsets = np.repeat(start - (np.cumsum(size) - size), size)
-        return self._ids[offsets + np.arange(total)]
+        return self._ids[offsets + np.arange(len(offsets))]
+
+
+#: ASCII marks that follow a word's letters as a pre-token of their own. An apostrophe may belong to the letters.
+_CLOSING = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+
+
+def _one_letter_run(word: str) -> bool:
+    """Lower-case Latin letters alone: one pre-token, which the normaliser leaves as it is."""
+    return word.isalpha() and max(word) < "\u0250" and word == word.lower()
 
 
-_SPACES = {c: " " for c in b"\t\n\x0b\x0c\r"}
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker, which later tasks find with the words it has learnt."""
+    return WordEncoder(path)
 
 
 def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, pool_key) of every piece; only the last may be short."""
 
     def pieces(batches):
-        encoder = WordEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         for part in slices(batches, SLICE_BYTES // 2):
             out = defaultdict(list)
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder(part.column("text").to_pylist())):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     own = ids[start: start + capacity]
