@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recon.llm import kd_search, packing, token_counts, toxicity
+from recon.llm import kd_search, packing, pii, spotsigs, token_counts, toxicity
 from recon.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -29,6 +29,14 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), vocabulary(PIECE_MODEL))
 
 
+def op4_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, folder, "documents"))
+
+
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op8_kd_search(spark: SparkSession, folder: str) -> DataFrame:
     return kd_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -38,7 +46,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op8_kd_search, op10_packing)}
+    out = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op4_spotsigs, op5_pii, op8_kd_search, op10_packing)}
     return out
 
 
