@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recon.llm import kd_search, kd_sharding, packing, pii, spotsigs, token_counts, toxicity
+from recon.llm import jaccard_join, kd_search, kd_sharding, packing, pii, spotsigs, token_counts, toxicity
 from recon.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -41,6 +41,10 @@ def op6_kd_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return kd_sharding.shard(table(spark, folder, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.near_groups(table(spark, folder, "documents"))
+
+
 def op8_kd_search(spark: SparkSession, folder: str) -> DataFrame:
     return kd_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op4_spotsigs, op5_pii, op6_kd_sharding, op8_kd_search, op10_packing)}
+    out = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op4_spotsigs, op5_pii, op6_kd_sharding, op7_jaccard_join, op8_kd_search, op10_packing)}
     return out
 
 
