@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recon.llm import jaccard_join, kd_search, kd_sharding, packing, pii, spotsigs, token_counts, toxicity
+from recon.llm import jaccard_join, kd_search, kd_sharding, packing, pii, spotsigs, substring_dedup, token_counts, toxicity
 from recon.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -25,6 +25,10 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), vocabulary(PIECE_MODEL))
 
@@ -54,7 +58,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (op1_toxicity, op3_token_counts, op4_spotsigs, op5_pii, op6_kd_sharding, op7_jaccard_join, op8_kd_search, op10_packing)}
+    out = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_token_counts, op4_spotsigs, op5_pii, op6_kd_sharding, op7_jaccard_join, op8_kd_search, op10_packing)}
     return out
 
 
