@@ -80,3 +80,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 def fits(frame: DataFrame, rows: int) -> bool:
     """Whether a frame has at most so many rows; reads no more of it than that needs."""
     return frame.limit(rows + 1).count() <= rows
+
+
+def bounded_sample(rows: DataFrame, limit: int, salt: int) -> DataFrame:
+    """All rows, or about ``limit`` of them by a hash of doc_id, which is uniform over 64 bits."""
+    total = rows.count()
+    if total <= limit:
+        return rows
+    return rows.where(F.xxhash64("doc_id", F.lit(salt)) < F.lit(int(limit / total * 2**64) - 2**63))

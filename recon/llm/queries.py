@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recon.llm import jaccard_join, kd_search, kd_sharding, packing, pii, spotsigs, substring_dedup, token_counts, toxicity
+from recon.llm import jaccard_join, kd_search, kd_sharding, mixing, packing, pii, spotsigs, substring_dedup, token_counts, toxicity
 from recon.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -53,13 +53,20 @@ def op8_kd_search(spark: SparkSession, folder: str) -> DataFrame:
     return kd_search.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary(WORD_MODEL))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_token_counts, op4_spotsigs, op5_pii, op6_kd_sharding, op7_jaccard_join, op8_kd_search, op10_packing)}
-    return out
+    import corpus_pipeline
+
+    known = (op1_toxicity, op2_substring_dedup, op3_token_counts, op4_spotsigs, op5_pii, op6_kd_sharding,
+             op7_jaccard_join, op8_kd_search, op9_mixing, op10_packing)
+    return {f.__name__: f for f in known} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

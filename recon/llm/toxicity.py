@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recon.llm.common import is_held_out, slices, texts
+from recon.llm.common import bounded_sample, is_held_out, slices, texts
 from recon.llm.words import NOT_ALNUM, Words, mix
 
 #: Most labelled texts a fit looks at, and most that one task learns from.
@@ -106,11 +106,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> Data
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~is_held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("label").alias("label")))
-    rank = F.xxhash64("doc_id", F.lit(17))
-    total = known.count()
-    if total > limit:
-        # The hash is uniform over 64 bits: this share of its range holds about so many ids.
-        known = known.where(rank < F.lit(int((limit / total) * 2**64) - 2**63))
+    known = bounded_sample(known, limit, 17)
     return texts(docs).join(F.broadcast(known), "doc_id")
 
 
