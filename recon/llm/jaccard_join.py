@@ -137,6 +137,18 @@ def _room(n1: Column, n2: Column, percent: int) -> Column:
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent)
 
 
+def _needed(a0: Column, a1: Column, b0: Column, b1: Column, percent: int) -> Column:
+    """How many of their first shingles sets of sizes a0 to a1 and b0 to b1 share at least, if they are linked.
+
+    A set of n shows its first n - ceil(percent n / 100) + NEEDED shingles. For an overlap of o, two sets that
+    show n - o + k each share k of these; the closer their sizes, the larger is o.
+    """
+    overlap = F.ceil((a0 + b0) * F.lit(percent / (100 + percent)) - 1e-6)
+    hidden = F.ceil(F.greatest(a1, b1) * percent / 100)
+    least = F.least(F.lit(NEEDED), F.ceil(F.least(a0, b0) * percent / 100))
+    return F.greatest(least, overlap - hidden + least)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(key, marks) of the wanted sets; ``wanted`` is (doc_id, key) with one row a key."""
     rows = texts(docs)
@@ -184,16 +196,16 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
     order = Window.partitionBy("token").orderBy("n", "key")
     beside = (index.select("key", "n", F.lag("key").over(order).alias("a"), F.lag("n").over(order).alias("m"))
               .where("a IS NOT NULL").where(_room(F.col("m"), F.col("n"), percent))
-              .groupBy("a", F.col("key").alias("b"), F.least("m", "n").alias("n")).agg(F.count("*").alias("times"))
-              .where(F.col("times") >= F.least(F.lit(NEEDED), F.ceil(F.col("n") * percent / 100))))
+              .groupBy("a", F.col("key").alias("b"), "m", "n").agg(F.count("*").alias("times"))
+              .where(F.col("times") >= F.least(F.lit(NEEDED), F.ceil(F.least("m", "n") * percent / 100))))
     near = written(_measured(docs, beside, classes, width).where(is_link))
     clusters = written(components(near.select("a", "b")))
 
     # Pivots and radii: how far each set is from the first of its cluster.
     spokes = clusters.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
-    radius = (_measured(docs, spokes, classes, width)
-              .groupBy(F.col("a").alias("cluster")).agg(F.max(1 - F.col("shared") / F.col("either")).alias("radius")))
-    radius = written(radius)
+    off = written(_measured(docs, spokes, classes, width)
+                  .select(F.col("a").alias("cluster"), F.col("b").alias("key"), (1 - F.col("shared") / F.col("either")).alias("off")))
+    radius = written(off.groupBy("cluster").agg(F.max("off").alias("radius")))
 
     # Lists of clusters: pairs that share as many first shingles as a link needs.
     labelled = written(index.join(clusters.withColumnRenamed("node", "key"), "key", "left")
@@ -209,9 +221,10 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
     most = F.least("a_p1", "b_p1") + 1 + F.least(F.col("a_n1") - F.col("a_p0"), F.col("b_n1") - F.col("b_p0")) - 1
     sizes = (F.col("a_n1") * 100 >= F.col("b_n0") * percent) & (F.col("b_n1") * 100 >= F.col("a_n0") * percent)
     shared = (left.join(right, ["token", "block"]).where((F.col("a") < F.col("b")) & sizes & (most >= least))
-              .groupBy("a", "b", "token").agg(F.min(F.least("a_n0", "b_n0")).alias("n")))
-    across = (shared.groupBy("a", "b").agg(F.count("*").alias("times"), F.min("n").alias("n"))
-              .where(F.col("times") >= F.least(F.lit(NEEDED), F.ceil(F.col("n") * percent / 100))))
+              .groupBy("a", "b", "token").agg(*[F.min(c).alias(c) for c in ("a_n0", "b_n0")], *[F.max(c).alias(c) for c in ("a_n1", "b_n1")]))
+    across = (shared.groupBy("a", "b").agg(F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("a_n0", "b_n0")],
+                                           *[F.max(c).alias(c) for c in ("a_n1", "b_n1")])
+              .where(F.col("times") >= _needed(F.col("a_n0"), F.col("a_n1"), F.col("b_n0"), F.col("b_n1"), percent)))
     pivots = written(_measured(docs, across, classes, width))
     found = pivots.where(is_link).select("a", "b")
 
@@ -221,18 +234,26 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
              .join(radius.select(F.col("cluster").alias("a"), F.col("radius").alias("ra")), "a", "left")
              .join(radius.select(F.col("cluster").alias("b"), F.col("radius").alias("rb")), "b", "left")
              .where(F.col("far") <= 1 - percent / 100 + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + 1e-9))
-    open_ = written(reach.where("ra IS NOT NULL OR rb IS NOT NULL").select("a", "b"))
+    open_ = written(reach.where("ra IS NOT NULL OR rb IS NOT NULL").select("a", "b", "far"))
     joined = written(found.unionByName(near.select("a", "b")))
     if open_.limit(1).count():
         # Pairs of clusters that other links have joined meanwhile are settled.
         now = components(joined)
         own = open_.join(now.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
             now.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").where(
-            "la IS NULL OR lb IS NULL OR la <> lb").select("a", "b")
-        x = labelled.select("token", F.col("cluster").alias("a"), F.col("key").alias("ka"), F.col("n").alias("na"))
-        y = labelled.select("token", F.col("cluster").alias("b"), F.col("key").alias("kb"), F.col("n").alias("nb"))
-        members = (own.join(x, "a").join(y, ["b", "token"]).where(_room(F.col("na"), F.col("nb"), percent))
-                   .select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct())
+            "la IS NULL OR lb IS NULL OR la <> lb").select("a", "b", "far")
+        # Of two members only those can be linked that are far enough off their pivots, towards each other.
+        inside = off.unionByName(clusters.where("node = label").select(
+            F.col("label").alias("cluster"), F.col("node").alias("key"), F.lit(0.0).alias("off")))
+        x = inside.select(F.col("cluster").alias("a"), F.col("key").alias("ka"), F.col("off").alias("oa"))
+        y = inside.select(F.col("cluster").alias("b"), F.col("key").alias("kb"), F.col("off").alias("ob"))
+        limit = 1 - percent / 100 + 1e-9
+        most = radius.select(F.col("cluster").alias("b"), "radius")
+        reaching = (own.join(most, "b", "left").join(x, "a", "left")
+                    .where(F.coalesce("oa", F.lit(0.0)) + F.coalesce("radius", F.lit(0.0)) >= F.col("far") - limit))
+        members = (reaching.join(y, "b", "left")
+                   .where(F.coalesce("oa", F.lit(0.0)) + F.coalesce("ob", F.lit(0.0)) >= F.col("far") - limit)
+                   .select(F.coalesce("ka", "a").alias("a"), F.coalesce("kb", "b").alias("b")).distinct())
         joined = written(joined.unionByName(_measured(docs, members, classes, width).where(is_link).select("a", "b")))
     return rows, joined, components(joined)
 
