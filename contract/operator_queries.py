@@ -218,10 +218,10 @@ def tolerance_predicate(s):
 
 @query(SourceTables)
 def key_lookup(s):
-    rich = s["customer"].orderBy(F.desc("c_acctbal"), "c_custkey").limit(10)
-    wanted = rich.select(F.col("c_custkey").cast("string").alias("pk"))
+    wanted = s["customer"].filter(F.col("c_acctbal") < 0).select(F.col("c_custkey").cast("string").alias("pk"))
     orders = s["orders"].select("o_orderkey", "o_custkey", "o_orderstatus")
-    return orders.join(wanted, F.col("o_custkey").cast("string") == F.col("pk"), "left_semi")
+    key = wanted.select(F.col("pk").cast(orders.schema["o_custkey"].dataType).alias("o_custkey"))
+    return orders.join(key, "o_custkey", "left_semi")
 
 
 @query(SourceTables)
@@ -487,15 +487,15 @@ def metrics_summary(b):
 
 @query(SourceTables)
 def score_transcripts(s):
-    # Nothing after the turn budget counts here, as every action is known, so the rank of a turn
-    # is needed up to that budget only.
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kind, value, number = F.col("event_type"), F.col("value"), F.col("event_id")
     localizes = (kind == "purchase") & (value > 150)
-    action = F.when(localizes, "localize").when(kind.isin("view", "purchase", "error"), "sql").otherwise("hypothesis")
+    action = (
+        F.when(F.pmod(number, F.lit(11)) == 0, "note").when(localizes, "localize")
+        .when(kind.isin("view", "purchase", "error"), "sql").otherwise("hypothesis")
+    )
     turns = (
         s["events"].withColumn("turn", F.row_number().over(order))
-        .filter(F.col("turn") <= transcripts.MAX_TURNS)
         .select(
             "user_id", "turn", action.alias("action"), (kind != "error").alias("valid_sql"),
             (F.pmod(number, F.lit(3)) == 0).alias("correct"),

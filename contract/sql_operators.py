@@ -92,8 +92,8 @@ SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linen
        ABS(net - ROUND(net, 1)) > 0.011 AS beyond_cent, ABS(net - ROUND(net, 1)) > 0.051 AS beyond_tenth
 FROM lines"""
 SQL["key_lookup"] = """
-SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE CAST(o_custkey AS VARCHAR) IN (
-  SELECT CAST(c_custkey AS VARCHAR) FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10) t)"""
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey IN (
+  SELECT c_custkey FROM customer WHERE c_acctbal < 0)"""
 SQL["like_filter"] = """
 SELECT page_id, url, url LIKE '%!_%' ESCAPE '!' AS has_underscore, url LIKE '%?page=%' AS has_page
 FROM pages WHERE url LIKE 'http%example%'"""
@@ -407,16 +407,18 @@ SQL["metrics_summary"] = f"""WITH graded AS ({GRADED})
 SQL["score_transcripts"] = """
 WITH turns AS (
   SELECT user_id, event_type, event_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn,
-         CASE WHEN event_type = 'purchase' AND value > 150 THEN 'localize'
+         CASE WHEN event_id % 11 = 0 THEN 'note'
+              WHEN event_type = 'purchase' AND value > 150 THEN 'localize'
               WHEN event_type IN ('view', 'purchase', 'error') THEN 'sql' ELSE 'hypothesis' END AS action
   FROM events),
 counted AS (
   SELECT *, SUM(CASE WHEN action = 'sql' AND event_type <> 'error' THEN 1 ELSE 0 END)
               OVER (PARTITION BY user_id ORDER BY turn) AS q FROM turns),
 closing AS (
-  SELECT user_id, MIN(turn) AS ended_at FROM counted WHERE action = 'localize' OR q >= 12 OR turn >= 24 GROUP BY 1),
+  SELECT user_id, MIN(turn) AS ended_at FROM counted
+  WHERE action <> 'note' AND (action = 'localize' OR q >= 12 OR turn >= 24) GROUP BY 1),
 live AS (SELECT c.*, k.ended_at FROM counted c LEFT JOIN closing k USING (user_id)
-         WHERE k.ended_at IS NULL OR c.turn <= k.ended_at),
+         WHERE c.action <> 'note' AND (k.ended_at IS NULL OR c.turn <= k.ended_at)),
 scored AS (
   SELECT user_id, MAX(q) AS queries, MAX(ended_at) AS ended_at,
          COUNT(*) FILTER (WHERE action = 'hypothesis' AND event_id % 3 = 0) AS n_correct,
@@ -426,11 +428,12 @@ scored AS (
              CASE WHEN q >= 12 THEN 'query budget exhausted without localisation'
                   ELSE 'turn budget exhausted without localisation' END END) AS reason
   FROM live GROUP BY 1)
-SELECT s.user_id, LEAST(n.n, 24) AS n_logged, CAST(0 AS BIGINT) AS n_unknown, CAST(queries AS BIGINT) AS queries,
-       ended_at, n_correct, CAST(terminal AS DOUBLE) AS terminal_reward,
-       CAST(COALESCE(terminal, 0) + n_correct * 0.05 AS DOUBLE) AS total_reward,
+SELECT n.user_id, n.n AS n_logged, n.n_unknown, CAST(COALESCE(queries, 0) AS BIGINT) AS queries,
+       ended_at, COALESCE(n_correct, 0) AS n_correct, CAST(terminal AS DOUBLE) AS terminal_reward,
+       CAST(COALESCE(terminal, 0) + COALESCE(n_correct, 0) * 0.05 AS DOUBLE) AS total_reward,
        COALESCE(success, FALSE) AS success, reason
-FROM scored s JOIN (SELECT user_id, COUNT(*) AS n FROM events GROUP BY 1) n USING (user_id)"""
+FROM (SELECT user_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE action = 'note') AS n_unknown FROM turns GROUP BY 1) n
+LEFT JOIN scored s USING (user_id)"""
 
 # lineage and the risk model ---------------------------------------------------------------
 

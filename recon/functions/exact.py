@@ -59,6 +59,5 @@ def yyyymm(day: Column) -> Column:
 
 def month_shift(month: Column, months: Column | int) -> Column:
     """Move a yyyymm number by a number of months."""
-    step = F.lit(months) if isinstance(months, int) else months
-    count = F.floor(month / 100) * 12 + F.pmod(month, F.lit(100)) - 1 + step
-    return (F.floor(count / 12) * 100 + F.pmod(count, F.lit(12)) + 1).cast("int")
+    first = F.make_date(F.floor(month / 100).cast("int"), F.pmod(month, F.lit(100)).cast("int"), F.lit(1))
+    return yyyymm(F.add_months(first, months))

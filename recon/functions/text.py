@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# How many fields a rendered row and how many columns a rendered table show.
-ROW_FIELDS = 18
-SCHEMA_COLUMNS = 24
-
 # Words of a query that are not column names.
 SQL_KEYWORDS = (
     "select", "from", "where", "join", "on", "and", "or", "not", "as", "in", "between", "like",
@@ -25,10 +21,15 @@ WORD_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
 def key_text(keys: Sequence[str]) -> Column:
-    """The reported key as text; composite keys are joined by a colon, NULL stays NULL."""
+    """The reported key as text. A single NULL key stays NULL.
+
+    The parts of a composite key are joined by a colon; a colon or backslash within a part is escaped, and
+    a part that is NULL reads \\N, so different keys have different texts.
+    """
     parts = [F.col(k).cast("string") for k in keys]
     if len(parts) == 1:
         return parts[0]
+    parts = [F.coalesce(F.regexp_replace(p, r"([\\:])", r"\\$1"), F.lit("\\N")) for p in parts]
     spaced = [parts[0]]
     for part in parts[1:]:
         spaced += [F.lit(":"), part]
@@ -50,8 +51,8 @@ def integral_text(value: Column) -> Column:
     return F.when(value == F.floor(value), whole.cast("string")).otherwise(value.cast("string"))
 
 
-def row_text(columns: Sequence[tuple[str, Column]], limit: int = ROW_FIELDS) -> Column:
-    """``a=1 | b=x`` for the first fields of a row."""
+def row_text(columns: Sequence[tuple[str, Column]], limit: int | None = None) -> Column:
+    """``a=1 | b=x`` for all fields of a row, or the first ``limit``."""
     return F.concat_ws(" | ", *[field_text(n, c) for n, c in list(columns)[:limit]])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import re
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,29 +91,56 @@ class Sandbox:
     def run(self, sql: str) -> DataFrame:
         """The first output column as text; a query the analyser refuses raises."""
         frame = self.session.sql(f"SELECT * FROM (\n{sql}\n) candidate")
-        return frame.select(F.col(f"`{frame.columns[0]}`").cast("string").alias("pk"))
+        # By position, as output columns may share a name.
+        named = frame.toDF(*[f"c{i}" for i in range(len(frame.columns))])
+        return named.select(F.col("c0").cast("string").alias("pk"))
 
 
 def run_candidates(
     spark: SparkSession, sandbox: Sandbox, side: str, candidates: Iterable[Candidate]
-) -> tuple[DataFrame | None, list[tuple[str, str, str, str]]]:
-    """Plans for all runnable candidates, tagged and stacked, plus (group, name, side, error).
+) -> tuple[list[DataFrame | None], list[tuple[str, str, str, str]]]:
+    """For each candidate its tagged plan, None if it cannot run, and (group, name, side, error).
 
     The loop runs over query texts, not over data; nothing is executed here.
     """
-    stacked: DataFrame | None = None
-    outcome = []
+    plans, outcome = [], []
     for c in candidates:
         try:
             hits = sandbox.run(c.sql).select(
                 F.lit(c.group).alias("defect_id"), F.lit(c.name).alias("candidate"),
                 F.lit(side).alias("side"), "pk",
             )
-            stacked = hits if stacked is None else stacked.unionByName(hits)
+            plans.append(hits)
             outcome.append((c.group, c.name, side, ""))
         except PySparkException as error:
-            outcome.append((c.group, c.name, side, error.getCondition() or type(error).__name__))
-    return stacked, outcome
+            plans.append(None)
+            outcome.append((c.group, c.name, side, error_name(error)))
+    return plans, outcome
+
+
+def error_name(error: PySparkException | Py4JJavaError) -> str:
+    """The error's condition, or its class where it has none."""
+    named = error.getCondition() if isinstance(error, PySparkException) else None
+    found = re.search(r"\[([A-Z][A-Z_.]+)\]", str(error))
+    return named or (found[1] if found else type(error).__name__)
+
+
+def executed(
+    plans: list[tuple[int, DataFrame]], write: Callable[[list[DataFrame]], DataFrame]
+) -> tuple[list[DataFrame], dict[int, str]]:
+    """Written hits of all numbered plans, and the errors of those that failed while they ran.
+
+    All run as one job. If it fails, each half runs by itself, down to the plan that fails alone.
+    """
+    try:
+        return [write([plan for _, plan in plans])], {}
+    except (PySparkException, Py4JJavaError) as error:
+        if len(plans) == 1:
+            return [], {plans[0][0]: error_name(error)}
+    middle = len(plans) // 2
+    written, errors = executed(plans[:middle], write)
+    more, others = executed(plans[middle:], write)
+    return written + more, errors | others
 
 
 OUTCOME_TYPE = T.StructType(
@@ -122,8 +151,8 @@ OUTCOME_TYPE = T.StructType(
 def grade_checks(hits: DataFrame, outcomes: DataFrame, planted: DataFrame) -> DataFrame:
     """One verdict per (defect, candidate, seed).
 
-    ``hits``: keys a candidate returned on the trap and the clean side, in full. ``planted``: at
-    most a few keys per (defect, seed), hence broadcast. A candidate catches when it returns a
+    ``hits``: keys a candidate returned on the trap and the clean side, in full. ``planted``: a
+    few keys per (defect, seed). A candidate catches when it returns a
     planted key on the trap side, and is precise when it also returns nothing on the clean side.
     """
     key = ["defect_id", "candidate"]
@@ -132,7 +161,7 @@ def grade_checks(hits: DataFrame, outcomes: DataFrame, planted: DataFrame) -> Da
     clean = hits.filter(F.col("side") == "clean").groupBy(*key).agg(F.count("*").alias("n_clean"))
     planted_hits = (
         trap.join(
-            F.broadcast(planted.select("defect_id", "seed", F.col("flagged_pk").alias("pk"))),
+            planted.select("defect_id", "seed", F.col("flagged_pk").alias("pk")),
             ["defect_id", "pk"],
         )
         .groupBy(*key, "seed").agg(F.countDistinct("pk").alias("n_planted_hit"))

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 32
+from recon.session import shared_dir
 
 
 def edges(spark: SparkSession, graph: Mapping[str, tuple[str, ...]]) -> DataFrame:
@@ -17,25 +17,33 @@ def edges(spark: SparkSession, graph: Mapping[str, tuple[str, ...]]) -> DataFram
     return spark.createDataFrame(rows, "field string, depends_on string")
 
 
-def lineage_closure(graph: DataFrame, fields: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """All direct and indirect inputs of the given fields with their shortest distance."""
+def lineage_closure(graph: DataFrame, fields: DataFrame) -> DataFrame:
+    """All direct and indirect inputs of the given fields with their shortest distance.
+
+    The frontier moves one edge a round and keeps what was not reached before, so every pair is met
+    once, at its shortest distance, and a cycle ends by itself. What is reached is written to the shared
+    folder each round, which cuts the lineage of the loop.
+    """
     spark = graph.sparkSession
-    tag = uuid.uuid4().hex[:8]
-    graph.createOrReplaceTempView(f"edges_{tag}")
-    fields.createOrReplaceTempView(f"roots_{tag}")
-    found = spark.sql(f"""
-        WITH RECURSIVE reach MAX RECURSION LEVEL {max_depth + 1} AS (
-          SELECT e.field AS root, e.depends_on AS field, 1 AS depth
-          FROM edges_{tag} e JOIN roots_{tag} r ON e.field = r.field
-          UNION ALL
-          SELECT r.root, e.depends_on, r.depth + 1
-          FROM reach r JOIN edges_{tag} e ON e.field = r.field
-          WHERE r.depth < {max_depth}
-        )
-        SELECT root, field, MIN(depth) AS depth FROM reach GROUP BY root, field""")
-    spark.catalog.dropTempView(f"edges_{tag}")
-    spark.catalog.dropTempView(f"roots_{tag}")
-    return found
+    root = f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex}"
+    step = graph.select("field", "depends_on").distinct()
+
+    def stored(frame: DataFrame, depth: int) -> DataFrame:
+        path = f"{root}/{depth}"
+        frame.withColumn("depth", F.lit(depth)).write.parquet(path)
+        return spark.read.schema("root string, field string, depth int").parquet(path)
+
+    def onward(frontier: DataFrame) -> DataFrame:
+        return frontier.join(step, "field").select("root", F.col("depends_on").alias("field")).distinct()
+
+    depth = 1
+    frontier = stored(onward(fields.select(F.col("field").alias("root"), "field")), depth)
+    reached = frontier
+    while not frontier.isEmpty():
+        depth += 1
+        frontier = stored(onward(frontier).join(reached, ["root", "field"], "left_anti"), depth)
+        reached = spark.read.schema("root string, field string, depth int").parquet(*[f"{root}/{d}" for d in range(1, depth + 1)])
+    return reached
 
 
 def field_values(frame: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -25,6 +25,30 @@ def common_columns(reported: DataFrame, expected: DataFrame, keys: Sequence[str]
     return [c for c in expected.columns if c in present and c not in keys]
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def common_type(a: str, b: str) -> str:
+    """The type two versions of a column are compared in: numbers as numbers, times as times, else text.
+
+    An exact number next to a double is compared as double, which is all the double can tell.
+    """
+    if a == b:
+        return a
+    kinds = {a.split("(")[0], b.split("(")[0]}
+    if kinds == {"decimal"}:
+        (p, s), (q, t) = ([int(x) for x in k[8:-1].split(",")] for k in (a, b))
+        scale = max(s, t)
+        return f"decimal({min(38, max(p - s, q - t) + scale)},{scale})"
+    if kinds <= {"decimal", *_NUMBERS}:
+        if kinds & {"float", "double"}:
+            return "double"
+        return "bigint" if "decimal" not in kinds else f"decimal(38,{max(int(k[8:-1].split(',')[1]) for k in (a, b) if k.startswith('decimal'))})"
+    if kinds <= {"date", "timestamp", "timestamp_ntz"}:
+        return "timestamp"
+    return "string"
+
+
 def _stacked(
     reported: DataFrame, expected: DataFrame, keys: Sequence[str], columns: Sequence[str]
 ) -> DataFrame:
@@ -34,10 +58,7 @@ def _stacked(
     def side(frame: DataFrame, is_reported: bool) -> DataFrame:
         values = []
         for c in columns:
-            mixed = kinds[c] != theirs[c] and not (
-                kinds[c].startswith("decimal") and theirs[c].startswith("decimal")
-            )
-            values.append(F.col(c).cast("string").alias(c) if mixed else F.col(c))
+            values.append(F.col(c).cast(common_type(kinds[c], theirs[c])).alias(c))
         return frame.select(*keys, F.lit(is_reported).alias("_reported"), *values)
 
     return side(reported, True).unionByName(side(expected, False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -25,10 +26,10 @@ def responses(bench: Workbench) -> DataFrame:
     """Six response texts per episode: (defect_id, seed, attempt, kind, response)."""
     episodes = bench.suspects().join(F.broadcast(bench.defects), "defect_id")
     columns = F.col("defect_columns")
-    others = F.when(F.size(columns) > 1, F.slice(columns, 2, 8)).otherwise(F.array(F.lit("unrelated")))
+    others = F.when(F.size(columns) > 1, F.slice(columns, F.lit(2), F.size(columns))).otherwise(F.array(F.lit("unrelated")))
     extraction = F.concat(
         F.lit("SELECT * FROM "), F.col("final_table"), F.lit(" WHERE CAST("), F.col("pk"),
-        F.lit(" AS STRING) = "), sql_literal(F.col("flagged_pk")),
+        F.lit(" AS STRING) IS NOT DISTINCT FROM "), sql_literal(F.col("flagged_pk")),
     )
 
     def cause(table, named):
@@ -138,16 +139,21 @@ def verdicts(bench: Workbench, candidates: DataFrame, name: str) -> DataFrame:
     spark, sides = bench.spark, _Sides(bench)
     hits, outcomes = [], []
     for number, batch in enumerate(_batches(candidates)):
-        plans = []
+        plans: list[tuple[int, DataFrame]] = []
         for defect_id in dict.fromkeys(c.group for c in batch):
             mine = [c for c in batch if c.group == defect_id]
             for side in ("trap", "clean"):
-                plan, outcome = grading.run_candidates(spark, sides.open(side, defect_id), side, mine)
+                found, outcome = grading.run_candidates(spark, sides.open(side, defect_id), side, mine)
+                plans += [(len(outcomes) + i, plan) for i, plan in enumerate(found) if plan is not None]
                 outcomes += outcome
-                if plan is not None:
-                    plans.append(plan)
         if plans:
-            hits.append(bench.store.table(f"hits_{name}_{number}", lambda plans=plans: stacked(plans)))
+            # A name of its own for every attempt: other candidates must not find these hits.
+            done, errors = grading.executed(
+                plans, lambda frames: bench.store.table(f"hits_{name}_{number}_{uuid.uuid4().hex}", lambda: stacked(frames))
+            )
+            hits += done
+            for i, error in errors.items():
+                outcomes[i] = (*outcomes[i][:3], error)
     empty = "defect_id string, candidate string, side string, pk string"
     ran = spark.createDataFrame(outcomes, grading.OUTCOME_TYPE)
     refused = candidates.filter("NOT allowed").select("defect_id", "candidate", "error").distinct()

@@ -32,10 +32,13 @@ def build_session(app: str = "recon", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    A temporary folder is set only where the session names none, which happens in local tests.
+    Where the session names none, a temporary folder is set in local mode, as in tests. Executors of a
+    cluster could not see it, so there it is an error.
     """
     named = spark.conf.get(SHARED_DIR_KEY, None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{SHARED_DIR_KEY} must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="recon-shared-")
         spark.conf.set(SHARED_DIR_KEY, named)
     return named.rstrip("/")
