@@ -241,9 +241,13 @@ def enrich_lookup(s):
 
 @query(SourceTables)
 def left_on_predicate(s):
-    on = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderstatus") == "F")
-    orders = s["orders"].select("o_orderkey", "o_custkey", "o_orderstatus")
-    return s["customer"].select("c_custkey").join(orders, on, "left").select("c_custkey", "o_orderkey")
+    # A left join cannot split a customer with very many orders; an inner join can, and the customers
+    # without a match are added.
+    orders = s["orders"].filter(F.col("o_orderstatus") == "F").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    customers = s["customer"].select("c_custkey")
+    matched = orders.join(customers, "c_custkey").select("c_custkey", "o_orderkey")
+    alone = customers.join(orders.select("c_custkey").distinct(), "c_custkey", "left_anti")
+    return matched.unionByName(alone.withColumn("o_orderkey", F.lit(None).cast("bigint")))
 
 
 @query(SourceTables)
@@ -599,7 +603,7 @@ def lineage_closure(b):
     names = sorted({*risk.FIELD_DEPENDENCIES, *(f for fs in risk.FIELD_DEPENDENCIES.values() for f in fs)})
     wide = _risk_trap(b).join(flagged, "ID_CICLO", "left_semi")
     values = lineage.field_values(wide, ["ID_CICLO"], names)
-    return values.join(F.broadcast(closure.select("field", "depth")), "field")
+    return values.join(closure.select("field", "depth"), "field")
 
 
 @query(Workbench)

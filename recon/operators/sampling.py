@@ -32,10 +32,10 @@ def seed_grid(
 def sample_keys(flagged: DataFrame, seeds: DataFrame, group: str, k: int = PLANTED) -> DataFrame:
     """The first ``k`` flagged keys per (group, seed) in stable order.
 
-    ``seeds`` is a grid of classes times episodes, independent of the data, hence broadcast. The
-    rank filter is pushed below the shuffle, so at most ``k`` rows per group leave each task.
+    Every flagged key is ordered once for each seed of its group, so the work is keys times seeds of
+    a group. The rank filter is pushed below the shuffle: at most ``k`` rows per group leave each task.
     """
-    per_seed = flagged.join(F.broadcast(seeds.select(group, "seed")), group).withColumn(
+    per_seed = flagged.join(seeds.select(group, "seed"), group).withColumn(
         "_order", stable_order(F.col("seed"), F.col("flagged_pk"))
     )
     window = Window.partitionBy(group, "seed").orderBy("_order", "flagged_pk")

@@ -195,9 +195,9 @@ def graded(bench: Workbench) -> DataFrame:
             read.drop("error", "uses_truth")
             .join(F.broadcast(truth), "defect_id")
             .join(checks, ["defect_id", "candidate", "seed"], "left")
-            .join(F.broadcast(useful), ["defect_id", "extraction_request"], "left")
+            .join(useful, ["defect_id", "extraction_request"], "left")
             .withColumn("variant", F.element_at(variant, F.col("kind")))
-            .join(F.broadcast(walks), ["defect_id", "seed", "variant"], "left")
+            .join(walks, ["defect_id", "seed", "variant"], "left")
             .na.fill(False, ["valid", "catch", "fp", "precise", "extraction_useful"])
             .na.fill(0.0, ["walkthrough"])
         )

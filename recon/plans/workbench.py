@@ -141,7 +141,7 @@ class Workbench:
                 return walk.suspect_sides(mine, self.trap(d.defect_id), self.clean(p.pipeline_id), p.pk)
 
             found = walk.suspect_rows(self.per_defect(one), ["defect_id", "flagged_pk"])
-            return self.suspects().join(F.broadcast(found), ["defect_id", "flagged_pk"])
+            return self.suspects().join(found, ["defect_id", "flagged_pk"])
 
         return self.store.table("suspect_rows", build)
 
