@@ -7,8 +7,8 @@ the misfit of the domains, whitened by the Gram matrix of the posteriors, plus a
 answer unique. A step needs one aggregation of a few sums over all documents; no state is kept for a
 document, as its rate follows from its posterior and the short history of misfits.
 
-The posterior is naive Bayes over hashed words and runs of marks. Counts cover every labelled document outside the
-held-out part but a fifth; the log ratios are divided by a temperature, chosen on a bounded sample of that
+The posterior is naive Bayes over hashed words and runs of marks. Counts cover at most TEACHING_ROWS labelled
+documents, chosen by a hash, outside the held-out part and another fifth; the log ratios are divided by a temperature, chosen on a bounded sample of that
 fifth, as words of one text are not independent.
 
 Domains: ``clean`` (quality 1, not toxic), ``poor`` (quality 0, not toxic) and ``toxic``. Tokens are counted as
@@ -41,6 +41,8 @@ BITS = 18
 #: What separates runs of marks: white space, letters and digits, and bytes of other scripts.
 NOT_MARK = WHITE + bytes(b for b in range(256) if b not in NOT_ALNUM)
 SMOOTHING = 0.5
+#: Labelled documents, at most about so many, that words are counted in.
+TEACHING_ROWS = 20_000
 #: Labelled documents the temperature is chosen on.
 CALIBRATION_ROWS = 4_000
 TEMPERATURES = (1, 2, 4, 8, 16, 32, 64, 128, 256)
@@ -67,7 +69,7 @@ def _streams(array: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def word_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(domain, coordinate, n) over all labelled documents; coordinate -1 counts the documents."""
+    """(domain, coordinate, n) over the labelled documents of a bounded table; coordinate -1 counts the documents."""
 
     def counted(batches):
         table = np.zeros((len(DOMAINS), 1 << BITS), np.int64)
@@ -83,7 +85,7 @@ def word_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
             [pa.array(np.append(d, every), pa.int32()), pa.array(np.append(c, every * 0 - 1)),
              pa.array(np.append(table[d, c], rows))], names=["domain", "coordinate", "n"])
 
-    return (docs.join(known, "doc_id").select("text", F.col("domain").cast("int").alias("domain"))
+    return (docs.join(F.broadcast(known), "doc_id").select("text", F.col("domain").cast("int").alias("domain"))
             .mapInArrow(counted, "domain int, coordinate bigint, n bigint")
             .groupBy("domain", "coordinate").agg(F.sum("n").alias("n")))
 
@@ -116,7 +118,7 @@ def fit_posterior(docs: DataFrame, labels: DataFrame) -> Posterior:
     """Learn the posterior; the driver gets a table of fixed size and the sums of CALIBRATION_ROWS texts."""
     rows, known = texts(docs), written(domains(labels))
     spared = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 4
-    found = word_counts(rows, known.where(~spared)).toArrow()
+    found = word_counts(rows, bounded_sample(known.where(~spared), TEACHING_ROWS, 19)).toArrow()
     counts, n = np.zeros((len(DOMAINS), 1 << BITS)), np.zeros(len(DOMAINS))
     d, c, v = (found.column(k).to_numpy() for k in ("domain", "coordinate", "n"))
     n[d[c < 0]] = v[c < 0]
