@@ -106,12 +106,24 @@ def subset_semi(s):
     return loaders.subset_semi(parent, keep, {"lines": (lines, "l_orderkey")}, "o_orderkey")["lines"]
 
 
+def _typed_copies(b: Workbench) -> dict[str, DataFrame]:
+    """Every source table, all columns, written in portable types and read again."""
+    copies = {name: (loaders.typed_copy(frame), b.store.path(f"{name}-copy")) for name, frame in b.sources.items()}
+    for copy, path in copies.values():
+        copy.write.parquet(path)
+    return {name: b.spark.read.schema(copy.schema).parquet(path) for name, (copy, path) in copies.items()}
+
+
 @query(Workbench)
 def typed_copy(b):
-    path = b.store.path("events-copy")
-    source = b.sources["events"].select("event_id", "ts", "user_id", exact.money("value").alias("amount"))
-    loaders.typed_copy(source).write.parquet(path)
-    return b.spark.read.parquet(path)
+    # All tables are copied; the SQL counterpart says which columns of which copy are returned.
+    return _typed_copies(b)["events"].select("event_id", "ts", "user_id", F.col("value").alias("amount"))
+
+
+@query(Workbench)
+def typed_copy_tables(b):
+    """Columns, types and rows of the copy of every table."""
+    return catalog.copy_inventory(_typed_copies(b))
 
 
 @query(Workbench)
@@ -653,6 +665,15 @@ def stratified_split(b):
     return sampling.stratified_split(numbered.drop("seed"), "defect_id", "number")
 
 
+@query(Workbench)
+def stratified_split_all(b):
+    """Every flagged key of a defect, numbered from 0 in the stable order of the defect's first seed."""
+    first = b.seeds().filter("episode = 0").select("defect_id", "seed")
+    keys = b.gold_flagged().join(F.broadcast(first), "defect_id").select("defect_id", "seed", "flagged_pk")
+    numbered = sampling.numbered(keys, "defect_id", "seed", "flagged_pk").drop("seed")
+    return sampling.stratified_split(numbered, "defect_id", "number")
+
+
 @query(Workbench)
 def episode_table(b):
     return episodes.episodes(b).select(

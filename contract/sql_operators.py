@@ -68,6 +68,10 @@ SQL["schema_catalog"] = f"SELECT k.*, n.n_rows FROM ({_CATALOG}) k JOIN ({_COUNT
 SQL["schema_text"] = f"""
 SELECT table_name, string_agg(column_name, ', ' ORDER BY position) AS columns_text, MAX(n.n_rows) AS n_rows
 FROM ({_CATALOG}) k JOIN ({_COUNTS}) n USING (table_name) GROUP BY table_name"""
+SQL["typed_copy_tables"] = f"""
+SELECT table_name, COUNT(*) AS n_columns, MAX(n.n_rows) AS n_rows,
+  string_agg(column_name || ' ' || replace(column_type, 'timestamp_ntz', 'string'), ', ' ORDER BY position) AS columns_text
+FROM ({_CATALOG}) k JOIN ({_COUNTS}) n USING (table_name) GROUP BY table_name"""
 
 # projections and predicates ---------------------------------------------------------------
 
@@ -680,6 +684,13 @@ SELECT defect_id, flagged_pk, CAST(episode * 3 + rank - 1 AS BIGINT) AS number,
        THEN 'test' ELSE 'train' END AS split
 FROM ({PLANTED}) p"""
 
+SQL["stratified_split_all"] = f"""
+SELECT defect_id, flagged_pk, number,
+  CASE WHEN number < GREATEST(1, CEIL(COUNT(*) OVER (PARTITION BY defect_id) * 0.2)) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT defect_id, flagged_pk, ROW_NUMBER() OVER (PARTITION BY defect_id ORDER BY
+        md5(CAST(9001 + class_index * 10007 AS VARCHAR) || ':' || flagged_pk), flagged_pk) - 1 AS number
+      FROM ({GOLD}) g) ranked"""
+
 
 def _contexts() -> str:
     """The text of each defect before the suspect key, from the declared source columns."""

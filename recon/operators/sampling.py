@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from recon.operators.joins import salted_lookup
 SEED_START, SEED_PER_CLASS, SEED_PER_EPISODE = 9001, 10_007, 911
 PLANTED = 3
 TEST_SHARE = 0.2
+# Blocks of a numbered group: rows each, and the most leading digits of the order that name one.
+BLOCK_ROWS, MOST_DIGITS = 2_000, 3
 
 
 def seed_grid(
@@ -43,6 +47,26 @@ def sample_keys(flagged: DataFrame, seeds: DataFrame, group: str, k: int = PLANT
     return ranked.select(group, "seed", "rank", "flagged_pk")
 
 
+def numbered(rows: DataFrame, group: str, seed: str, key: str) -> DataFrame:
+    """``rows`` with ``number``, counting from 0 without gaps within the group in stable order.
+
+    The order is a digest, so its leading digits cut a group into even blocks. Rows are ranked within
+    blocks of about BLOCK_ROWS and moved up by the rows of the blocks before, so no task sorts a group.
+    """
+    ordered = rows.withColumn("_order", stable_order(F.col(seed), F.col(key)))
+    most = ordered.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = min(MOST_DIGITS, max(1, math.ceil(math.log(max(most / BLOCK_ROWS, 1), 16))))
+    dealt = ordered.withColumn("_block", F.substring("_order", 1, digits))
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(group, "_block").agg(F.count("*").alias("_n")).select(
+        group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    within = Window.partitionBy(group, "_block").orderBy("_order", key)
+    # At most 16 ** MOST_DIGITS rows a group.
+    placed = dealt.withColumn("_at", F.row_number().over(within)).join(F.broadcast(starts), [group, "_block"])
+    return placed.withColumn("number", F.col("_start") + F.col("_at") - 1).drop("_order", "_block", "_at", "_start")
+
+
 def test_size(n: Column, share: float = TEST_SHARE) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * F.lit(share))).cast("bigint")
 

@@ -20,6 +20,18 @@ def table_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+def copy_inventory(copies: Mapping[str, DataFrame]) -> DataFrame:
+    """Per copied table its columns with their types, in order, and its rows."""
+    listed = [
+        frame.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("table_name"), F.lit(len(frame.columns)).alias("n_columns"),
+            F.lit(", ".join(f"{c} {kind}" for c, kind in frame.dtypes)).alias("columns_text"), "n_rows",
+        )
+        for name, frame in copies.items()
+    ]
+    return reduce(DataFrame.unionByName, listed)
+
+
 def integrity_gate(inventory: DataFrame, min_tables: int = 2) -> DataFrame:
     """One row: number of tables, all rows, and whether the source is usable."""
     totals = inventory.agg(F.count("*").alias("n_tables"), F.sum("n_rows").alias("total_rows"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import pytest
 
+from __spark_entry__ import queries
 from recon.plans.defects import DEFECTS
 from recon.plans.reports import PIPELINES
 from recon.plans.workbench import Workbench
@@ -72,3 +75,11 @@ def test_same_result_at_any_partitioning(spark, folder, partitions):
             assert found.count() == (expected[0] if isinstance(expected, tuple) else expected)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_every_flagged_key_gets_a_split(spark, folder, bench):
+    got = queries()["stratified_split_all"](spark, folder).toPandas()
+    assert len(got) == bench.gold_flagged().count()
+    for defect, own in got.groupby("defect_id"):
+        assert sorted(own.number) == list(range(len(own))), defect
+        assert (own.split == "test").sum() == max(1, math.ceil(len(own) * 0.2)), defect

@@ -138,3 +138,16 @@ def test_split_has_at_least_one_test_episode_per_class(spark):
     split = sampling.stratified_split(frame, "c", "i")
     got = {r.c: r["count"] for r in split.filter("split = 'test'").groupBy("c").count().collect()}
     assert got == {"a": 1, "b": 2, "c": 2}
+
+
+def test_numbers_have_no_gaps_at_any_block_size(spark, monkeypatch):
+    sizes = {"a": 1, "b": 2, "c": 700}
+    rows = spark.createDataFrame([(c, 7, f"k{i}") for c, n in sizes.items() for i in range(n)] + [("d", 7, None)],
+                                 "c string, s long, k string")
+    found = []
+    for block_rows in (1, 50, 2_000):
+        monkeypatch.setattr(sampling, "BLOCK_ROWS", block_rows)
+        found.append({(r.c, r.k): r.number for r in sampling.numbered(rows, "c", "s", "k").collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 704
+    for c, n in (sizes | {"d": 1}).items():
+        assert sorted(v for (d, _), v in found[0].items() if d == c) == list(range(n))

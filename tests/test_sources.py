@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from __spark_entry__ import entry, oracle_sql, queries
+from contract import operator_queries
 from recon.functions.exact import month_shift
 from recon.plans.episodes import schema_text
+from recon.plans.workbench import Workbench
 from recon.sources import catalog, loaders
+from recon.sources.tables import SourceTables
 from tests.compare import compare, open_duckdb
 
 TYPE = T.StructType().add("id", "integer").add("name", "string").add("n", "double")
@@ -73,3 +76,19 @@ LIGHT = (
 def test_query_agrees_with_sql(spark, folder, name):
     got = queries()[name](spark, folder).toPandas()
     assert compare(got, open_duckdb(folder).execute(oracle_sql()[name]).df()) == ""
+
+
+def test_every_table_is_copied_whole(spark, folder):
+    got = {r.table_name: r for r in queries()["typed_copy_tables"](spark, folder).collect()}
+    sources = SourceTables(spark, folder)
+    assert set(got) == set(sources)
+    copies = operator_queries._typed_copies(Workbench(spark, folder))
+    for name, frame in sources.items():
+        assert got[name].n_rows == frame.count() and got[name].n_columns == len(frame.columns)
+        assert copies[name].exceptAll(loaders.typed_copy(frame)).isEmpty() and copies[name].columns == frame.columns
+
+
+@pytest.mark.parametrize("name", ("typed_copy", "typed_copy_tables"))
+def test_copies_agree_with_sql(spark, folder, name):
+    got = queries()[name](spark, folder).toPandas()
+    assert compare(got, open_duckdb(folder).execute(oracle_sql()[name]).df()) == ""
