@@ -28,6 +28,8 @@ SHINGLE_WORDS = 5
 NEAR_PERCENT = 80
 #: The mixed corpus has this many times the tokens; every document stays at least once.
 GROWTH = 1.25
+#: Weights of clean, poor and toxic tokens in it: what looks toxic after the first stage is not repeated.
+WEIGHTS = (*mixing.TARGET[:2], 0.0)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -43,7 +45,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    return mixing.resample(docs, table(spark, folder, "labels"), growth=GROWTH, least=1.0)
+    return mixing.resample(docs, table(spark, folder, "labels"), WEIGHTS, growth=GROWTH, least=1.0)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -4,7 +4,9 @@ A classifier fitted to a labelled table gives each document a posterior over dom
 a document is taken; the expected tokens of a domain are the sum over documents of rate, tokens and
 posterior. Rates of at least ``least`` are fitted to the target totals by projected-gradient least squares:
 the misfit of the domains, whitened by the Gram matrix of the posteriors, plus a small pull to rate 1 that makes the
-answer unique. A step needs one aggregation of a few sums over all documents; no state is kept for a
+answer unique. After the last step each domain that misses its total by more than MISFIT of it is reported by a
+warning; so are totals below what ``least`` leaves of a domain. A weight of 0 asks for no more of a domain than ``least``
+leaves, and the others share the rest. A step needs one aggregation of a few sums over all documents; no state is kept for a
 document, as its rate follows from its posterior and the short history of misfits.
 
 The posterior is naive Bayes over hashed words and runs of marks. Counts cover at most TEACHING_ROWS labelled
@@ -23,6 +25,7 @@ there are no rows. Other columns are not read, and are kept by ``resample``.
 from __future__ import annotations
 
 import functools
+import warnings
 import zlib
 
 import numpy as np
@@ -49,6 +52,8 @@ TEMPERATURES = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 STEPS = 40
 PULL = 0.01
 CLOSE = 1e-4
+#: A domain that misses its total by more than this share of it is reported.
+MISFIT = 0.05
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -173,41 +178,59 @@ def rate(p: Column, history: list[np.ndarray], least: float, step: float) -> Col
     return F.aggregate(terms, F.lit(1.0), lambda r, g: F.greatest(F.lit(least), r - step * (g + PULL * (r - 1.0))))
 
 
-def fit_rates(scored: DataFrame, target: np.ndarray, least: float) -> tuple[list[np.ndarray], float]:
-    """History of misfits that gives the rates; ``target`` has the domains' totals in tokens."""
+def fit_rates(scored: DataFrame, target: np.ndarray, least: float) -> tuple[list[np.ndarray], float, np.ndarray]:
+    """History of misfits that gives the rates, and the misfit left; ``target`` has the domains' totals in tokens."""
     k = len(DOMAINS)
     p, w = F.col("p"), F.col("n_tokens").cast("double")
     pairs = [(i, j) for i in range(k) for j in range(k)]
     row = scored.agg(F.sum(w).alias("t"), *[F.sum(w * F.get(p, F.lit(i)) * F.get(p, F.lit(j))).alias(f"m{i}{j}") for i, j in pairs]).first()
     if not row.t:
-        return [], 1.0
+        return [], 1.0, np.zeros(k)
     gram = np.array([[row[f"m{i}{j}"] for j in range(k)] for i in range(k)]) / row.t
     white = np.linalg.pinv(gram + 1e-6 * np.eye(k))
     goal, step, history = np.asarray(target) / row.t, 1.0 / (1.0 + PULL), []
-    for _ in range(STEPS):
+
+    def misfit_of(history: list[np.ndarray]) -> np.ndarray:
         r = rate(p, history, least, step)
         got = scored.select(w.alias("w"), "p", r.alias("r")).agg(
             *[F.sum(F.col("w") * F.col("r") * F.get("p", F.lit(i))).alias(f"s{i}") for i in range(k)]).first()
-        misfit = np.array([got[f"s{i}"] for i in range(k)]) / row.t - goal
+        return np.array([got[f"s{i}"] for i in range(k)]) / row.t - goal
+
+    for _ in range(STEPS):
+        misfit = misfit_of(history)
         gradient = white @ misfit
         if history and np.abs(gradient - history[-1]).max() < CLOSE:
             break
         history.append(gradient)
         if np.abs(misfit).max() < CLOSE:
             break
-    return history, step
+    return history, step, misfit_of(history) * row.t
+
+
+def report(target: np.ndarray, misfit: np.ndarray, weights: tuple[float, ...]) -> None:
+    """Warn of each domain with a weight that misses its total by more than MISFIT of it."""
+    missed = [f"{d} {100 * m / t:+.1f} %" for d, t, m, x in zip(DOMAINS, target, misfit, weights) if x and t and abs(m) > MISFIT * t]
+    if missed:
+        warnings.warn(f"mixing misses its totals: {', '.join(missed)}", stacklevel=3)
 
 
-def targets(scored: DataFrame, weights: tuple[float, ...], budget: float | None) -> np.ndarray:
-    """Totals by domain: the weights of a budget, by default of all tokens there are."""
-    return np.asarray(weights) / sum(weights) * (budget or float(scored.agg(F.sum("n_tokens")).first()[0] or 0))
+def targets(scored: DataFrame, weights: tuple[float, ...], growth: float, budget: float | None, least: float) -> np.ndarray:
+    """Totals by domain: the weights of a budget, by default of ``growth`` times all tokens there are."""
+    w = F.col("n_tokens")
+    row = scored.agg(F.sum(w), *[F.sum(w * F.get("p", F.lit(i))) for i in range(len(DOMAINS))]).first()
+    # A domain without weight keeps what every row's least rate leaves of it.
+    x = np.asarray(weights, float)
+    kept = np.where(x == 0, least * np.array([v or 0.0 for v in row[1:]]), 0.0)
+    return kept + x / x.sum() * max(0.0, (budget or growth * float(row[0] or 0)) - kept.sum())
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = TARGET, budget: float | None = None,
         least: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate, copies of every row."""
     scored = written(posteriors(docs, fit_posterior(docs, labels)))
-    history, step = fit_rates(scored, targets(scored, weights, budget), least)
+    goal = targets(scored, weights, 1.0, budget, least)
+    history, step, misfit = fit_rates(scored, goal, least)
+    report(goal, misfit, weights)
     # A rate between two numbers is rounded up for as large a share of ids, by their hash.
     u = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).cast("binary")) / F.lit(2.0**32)
     copies = F.floor(F.col("rate") + u).cast("int")
@@ -221,8 +244,9 @@ def resample(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = TA
     """``docs``, each row as often as its rate says; the budget is ``growth`` times the tokens there are."""
     model = fit_posterior(docs, labels)
     scored = written(posteriors(docs, model))
-    goal = targets(scored, weights, None) * growth
-    history, step = fit_rates(scored, goal, least)
+    goal = targets(scored, weights, growth, None, least)
+    history, step, misfit = fit_rates(scored, goal, least)
+    report(goal, misfit, weights)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def taken(batches):

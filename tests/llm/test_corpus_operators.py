@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 
 import numpy as np
@@ -171,8 +172,43 @@ def test_mixing_edges(edge, empty, labels, edge_rows):
     assert mixing.mix(edge, labels.limit(0)).count() == len(edge_rows)
 
 
+def test_mixing_misfit_and_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = mixing.mix(docs, labels).toPandas()
+    p, t = got[["p_clean", "p_poor", "p_toxic"]].to_numpy(), got.n_tokens.to_numpy()
+    share = (got.rate.to_numpy()[:, None] * t[:, None] * p).sum(axis=0) / t.sum()
+    assert (np.abs(share / mixing.TARGET - 1) < mixing.MISFIT).all()
+    held = {r.doc_id: 2 if r.toxic else 0 if r.quality else 1 for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    known = [(int(p[i].argmax()), held[d]) for i, d in enumerate(got.doc_id) if d in held]
+    truth = np.array([b for _, b in known])
+    assert np.mean([a == b for a, b in known]) > np.bincount(truth).max() / len(truth)
+
+
+def test_missed_totals_are_reported(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    with pytest.warns(UserWarning, match="mixing misses its totals: clean"):
+        mixing.mix(docs, labels, weights=(0.05, 0.90, 0.05), least=1.0)
+
+
 # pipeline
 
+def test_pipeline_does_not_repeat_what_looks_toxic(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = table(spark, folder, "labels")
+    found = labels.where("toxic = 1 AND doc_id % 10 <> 0").select("doc_id")
+    docs = table(spark, folder, "documents").join(found, "doc_id", "left_anti")
+    copies = {r.doc_id: r["count"] for r in corpus_pipeline.mixing_stage(spark, docs, folder).groupBy("doc_id").count().collect()}
+    seen = mixing.posteriors(docs, mixing.fit_posterior(docs, labels)).collect()
+    assert set(copies) == {r.doc_id for r in seen}
+    before = sum(r.n_tokens * r.p[2] for r in seen)
+    after = sum(r.n_tokens * r.p[2] * copies[r.doc_id] for r in seen)
+    assert after / before < 1.1
+
+
 def test_pipeline_stages(spark, edge, labels, tmp_path):
     edge.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
