@@ -4,9 +4,9 @@ Relations between sets save most of the work, at three steps.
 
 * Equal sets have equal answers: one row stands for them all.
 * Index lists. A set is indexed under the first shingles of an order that puts frequent ones last,
-  enough that a linked set must share NEEDED of them. A list is cut into blocks of size and position;
-  a block whose sizes, or whose positions in the sets, leave too little room for the overlap is
-  skipped whole.
+  enough that a linked set must share NEEDED of them. A list is cut into blocks of size; a block whose
+  sizes leave too little room for the overlap is skipped whole. Positions in the sets are looked at pair by
+  pair, after the join of a list's neighbouring blocks has made the pairs.
 * Answers of a similar set. Neighbours in a list that turn out to be linked form clusters. From then on
   a cluster is one entry of a list, and its first set, the pivot, answers for it: distances of sets are a
   metric, so two clusters whose pivots lie farther apart than the limit and both radii together have
