@@ -337,7 +337,7 @@ SELECT defect_id, seed, kind, kind <> 'junk' AS readable,
     AS claimed_columns,
   CASE WHEN kind IN ('junk', 'empty') THEN NULL ELSE description END AS claimed_transformation,
   CASE WHEN kind IN ('junk', 'empty') THEN NULL ELSE
-    'SELECT * FROM ' || final_table || ' WHERE CAST(' || pk || ' AS STRING) = ''' || flagged_pk || '''' END
+    'SELECT * FROM ' || final_table || ' WHERE CAST(' || pk || ' AS STRING) IS NOT DISTINCT FROM ''' || flagged_pk || '''' END
     AS extraction_request
 FROM ({_ANSWERS}) a"""
 _SHARED_COLUMN = "others <> 'unrelated'"

@@ -46,6 +46,7 @@ def test_catalogue_hides_internal_tables(spark):
     rows = [tuple(r) for r in catalog.catalog_frame(spark, frames).orderBy("table_name", "position").collect()]
     assert rows == [("a", 1, "id", "bigint"), ("a", 2, "x", "string"), ("b", 1, "id", "bigint")]
     assert schema_text(frames, limit=1).splitlines()[1:] == ["  a  (id, ...)", "  b  (id)"]
+    assert schema_text(frames).splitlines()[1:] == ["  a  (id, x)", "  b  (id)"]
     gate = catalog.integrity_gate(catalog.table_inventory({"a": spark.range(0), "b": spark.range(0)})).collect()[0]
     assert (gate.n_tables, gate.total_rows, gate.usable) == (2, 0, False)
 
@@ -68,7 +69,8 @@ def test_entry(spark):
 LIGHT = (
     "part_margin", "diff_ZT02", "gold_SK03", "load_csv_checked", "load_tsv_nulls", "tolerance_predicate",
     "fanout_profile", "screen_candidates", "query_references", "score_transcripts", "risk_columns",
-    "lineage_closure", "month_shift", "key_extraction",
+    "lineage_closure", "month_shift", "key_extraction", "episodes", "split_stats", "planted_drift",
+    "parse_responses",
 )
 
 
