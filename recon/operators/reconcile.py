@@ -8,7 +8,8 @@ values instead of all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +127,33 @@ def diff(
     )
 
 
+def diff_many(
+    pairs: Mapping[str, tuple[DataFrame, DataFrame, Sequence[str], str]], name: str, kind: str
+) -> DataFrame:
+    """The exact diffs of many pairs of tables in one grouping, by pair and rendered key.
+
+    ``pairs``: name of the pair to (reported, expected, keys, compared column). The columns are compared as
+    ``kind``, which must hold their values exactly. Output: ``name``, ``flagged_pk``, ``side``, ``reported``,
+    ``expected``.
+    """
+
+    def side(pair: str, frame: DataFrame, keys: Sequence[str], column: str, is_reported: bool) -> DataFrame:
+        return frame.select(
+            F.lit(pair).alias(name), key_text(keys).alias("flagged_pk"), F.lit(is_reported).alias("_reported"),
+            F.col(column).cast(kind).alias("value"),
+        )
+
+    sides = [
+        side(pair, frame, keys, column, is_reported)
+        for pair, (reported, expected, keys, column) in pairs.items()
+        for frame, is_reported in ((reported, True), (expected, False))
+    ]
+    grouped = reduce(DataFrame.unionByName, sides).groupBy(name, "flagged_pk").agg(*_summaries(["value"]))
+    return grouped.withColumn("side", _side(_column_differs(0, None))).filter("side IS NOT NULL").select(
+        name, "flagged_pk", "side", F.col("_r0_max").alias("reported"), F.col("_e0_max").alias("expected")
+    )
+
+
 def diff_wide(
     reported: DataFrame,
     expected: DataFrame,

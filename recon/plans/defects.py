@@ -11,7 +11,7 @@ from recon.plans.spec import Defect, Frames
 
 
 def _month_one(f: Frames):
-    return r.item_sales(f, period=F.col("d_month") == 1)
+    return r.item_sales(f, period=("month 1", F.col("d_month") == 1))
 
 
 def _any_line_first(f: Frames):
@@ -21,6 +21,7 @@ def _any_line_first(f: Frames):
 _SAME = "mismatch"
 _GONE = "missing"
 
+# Ids, pipelines, kinds, dimensions, categories and severities of the defects.
 _ROWS = (
     # id, pipeline, kind, dimension, category, severity, columns, build, check, description
     ("CH01", "customer_revenue", "wrong_join_key", "consistency", "join", "high",

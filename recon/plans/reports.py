@@ -3,43 +3,43 @@
 Every last step takes keyword arguments that bend it; with the defaults it is the healthy
 report, and ``recon.plans.defects`` binds the arguments that spoil it. Child tables are reduced
 to one row per join key before they are joined, so a join never has more output rows than its
-larger input, whatever key it is made on. A ``*_ref`` column is recomputed from staging on a
-path of its own.
+larger input, whatever key it is made on. A ``*_ref`` column is asked for apart from the value it
+checks; where both turn out to be the same grouping, ``recon.plans.staging`` computes them in one pass.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recon.functions.exact import (
     discounted, mean, money, rate, repeated, times, total, total_or_zero,
 )
-from recon.operators.joins import row_counts, salted_lookup
-from recon.plans.spec import Frames, Pipeline, Step, keyed
+from recon.operators.joins import salted_lookup
+from recon.plans.spec import Frames, Pipeline, Projection, Step, keyed
+from recon.plans.staging import Grouping, Input, beside, resolve, step_input
 
 # Fixed value: the year the item report covers.
 ITEM_YEAR = 1998
 PURCHASE = "purchase"
 
 
-def _lines(f: Frames) -> DataFrame:
-    return f["lineitem"].select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag",
-        F.to_date("l_shipdate").alias("ship_day"),
-        money("l_quantity").alias("quantity"),
-        money("l_extendedprice").alias("gross"),
-        rate("l_discount").alias("discount"),
-        discounted("l_extendedprice", "l_discount").alias("net"),
-    )
+_lines = Projection("lineitem", lambda: {
+    **{c: F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")},
+    "ship_day": F.to_date("l_shipdate"),
+    "quantity": money("l_quantity"),
+    "gross": money("l_extendedprice"),
+    "discount": rate("l_discount"),
+    "net": discounted("l_extendedprice", "l_discount"),
+})
 
-
-def _orders(f: Frames) -> DataFrame:
-    return f["orders"].select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
-        F.to_date("o_orderdate").alias("o_orderdate"),
-        money("o_totalprice").alias("order_total"),
-    )
+_orders = Projection("orders", lambda: {
+    **{c: F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")},
+    "o_orderdate": F.to_date("o_orderdate"),
+    "order_total": money("o_totalprice"),
+}, key=("o_orderkey",))
 
 
 def _count(column: Column) -> Column:
@@ -48,30 +48,45 @@ def _count(column: Column) -> Column:
 
 STG_LINES = Step("stg_lines", "L0", "staging of order lines with gross and net amount", _lines)
 STG_ORDERS = Step("stg_orders", "L0", "staging of orders", _orders)
+LINES = step_input(STG_LINES)
+EVENTS = Input("events", lambda f: f["events"])
+
+
+def _by(kind: str, column: str) -> tuple[str, Column]:
+    return kind, F.col(column)
+
+
+def _number() -> tuple[str, Column]:
+    return "count", F.lit(1)
+
+
+def _copies(f: Frames, of: Input, key: str, alias: str) -> DataFrame:
+    """How many rows each key has: stands in for a child table that only multiplies rows."""
+    return beside(f, Grouping(of, (key,), {"copies": _number()})).withColumnRenamed(key, alias)
 
 
 # customer_revenue -------------------------------------------------------------------------
 
-def _revenue_by_customer(f: Frames, line_key: str) -> DataFrame:
-    lines = f["stg_lines"].groupBy(F.col(line_key).alias("line_key")).agg(F.sum("net").alias("net"))
-    orders = f["stg_orders"].select("o_orderkey", "o_custkey")
-    return (
-        orders.join(lines, F.col("o_orderkey") == F.col("line_key"), "left")
-        .groupBy(F.col("o_custkey").alias("c_custkey"))
-        .agg(F.countDistinct("o_orderkey").alias("n_orders"), F.sum("net").alias("net"))
-    )
+def _ordered_lines(line_key: str) -> Input:
+    def build(f: Frames) -> DataFrame:
+        lines = beside(f, Grouping(LINES, (line_key,), {"net": _by("sum", "net")}))
+        orders = resolve(f, STG_ORDERS).select("o_orderkey", "o_custkey")
+        return orders.join(lines, F.col("o_orderkey") == F.col(line_key), "left")
+
+    return Input(f"orders with lines by {line_key}", build)
 
 
 def customer_revenue(f: Frames, line_key: str = "l_orderkey", with_events: bool = False) -> DataFrame:
-    calc = _revenue_by_customer(f, line_key)
+    calc = Grouping(_ordered_lines(line_key), ("o_custkey",),
+                    {"n_orders": _by("distinct", "o_orderkey"), "net": _by("sum", "net")})
+    ref = Grouping(_ordered_lines("l_orderkey"), ("o_custkey",), {"ref_net": _by("sum", "net")})
+    revenue = beside(f, calc, ref)
     if with_events:
-        copies = row_counts(f["events"], "user_id", "c_custkey")
-        calc = calc.join(copies, "c_custkey", "left").withColumn(
+        revenue = revenue.join(_copies(f, EVENTS, "user_id", "user_id"), F.col("o_custkey") == F.col("user_id"), "left").withColumn(
             "net", F.col("net") * times(F.col("copies"))
         )
-    ref = _revenue_by_customer(f, "l_orderkey").select("c_custkey", F.col("net").alias("ref_net"))
     return (
-        f["customer"].join(calc, "c_custkey", "left").join(ref, "c_custkey", "left")
+        f["customer"].join(revenue, F.col("c_custkey") == F.col("o_custkey"), "left")
         .select(
             "c_custkey", "c_name", "c_mktsegment",
             _count(F.col("n_orders")).alias("n_orders"),
@@ -83,37 +98,31 @@ def customer_revenue(f: Frames, line_key: str = "l_orderkey", with_events: bool
 
 # order_value ------------------------------------------------------------------------------
 
-def _parts(f: Frames) -> DataFrame:
-    return f["part"].select(
-        "p_partkey", "p_name", "p_brand", money("p_retailprice").alias("list_price")
-    )
+_parts = Projection("part", lambda: {
+    "p_partkey": F.col("p_partkey"), "p_name": F.col("p_name"), "p_brand": F.col("p_brand"),
+    "list_price": money("p_retailprice"),
+}, key=("p_partkey",))
+STG_PARTS = Step("stg_parts", "L0", "staging of parts with list price", _parts)
 
 
-def _priced_lines(f: Frames, line_part: str) -> DataFrame:
-    parts = f["stg_parts"].select("p_partkey", "list_price")
-    return (
-        f["stg_lines"].join(parts, F.col(line_part) == F.col("p_partkey"))
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(
-            F.count("*").alias("n_lines"),
-            F.sum("gross").alias("gross"),
-            F.sum("net").alias("net"),
-            F.sum((F.col("list_price") * F.col("quantity")).cast("decimal(28,4)")).alias("listed"),
-        )
-    )
+def _priced_lines(line_part: str) -> Input:
+    def build(f: Frames) -> DataFrame:
+        parts = resolve(f, STG_PARTS).select("p_partkey", "list_price")
+        return resolve(f, STG_LINES).join(parts, F.col(line_part) == F.col("p_partkey"))
+
+    return Input(f"lines priced by {line_part}", build)
 
 
 def order_value(
     f: Frames, line_part: str = "l_partkey", net: str = "net", with_net_ref: bool = True
 ) -> DataFrame:
-    calc = _priced_lines(f, line_part)
-    listed_ref = _priced_lines(f, "l_partkey").select("o_orderkey", F.col("listed").alias("ref_listed"))
-    out = f["stg_orders"].join(calc, "o_orderkey").join(listed_ref, "o_orderkey", "left")
+    listed = ("sum", (F.col("list_price") * F.col("quantity")).cast("decimal(28,4)"))
+    calc = Grouping(_priced_lines(line_part), ("l_orderkey",), {
+        "n_lines": _number(), "gross": _by("sum", "gross"), "net": _by("sum", "net"), "listed": listed})
+    refs = [Grouping(_priced_lines("l_partkey"), ("l_orderkey",), {"ref_listed": listed})]
     if with_net_ref:
-        net_ref = f["stg_lines"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-            F.sum("net").alias("ref_net")
-        )
-        out = out.join(net_ref, "o_orderkey", "left")
+        refs.append(Grouping(LINES, ("l_orderkey",), {"ref_net": _by("sum", "net")}))
+    out = f["stg_orders"].join(beside(f, calc, *refs), F.col("o_orderkey") == F.col("l_orderkey"))
     columns = [
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus", "n_lines",
         total(F.col("gross")).alias("gross_value"),
@@ -130,20 +139,19 @@ def order_value(
 
 # order_performance ------------------------------------------------------------------------
 
-def _suppliers(f: Frames) -> DataFrame:
-    return f["supplier"].select(
-        "s_suppkey", "s_nationkey", F.col("s_name").isNull().alias("unnamed"),
-        money("s_acctbal").alias("balance"),
-    )
+_suppliers = Projection("supplier", lambda: {
+    "s_suppkey": F.col("s_suppkey"), "s_nationkey": F.col("s_nationkey"), "unnamed": F.col("s_name").isNull(),
+    "balance": money("s_acctbal"),
+}, key=("s_suppkey",))
+STG_SUPPLIERS = Step("stg_suppliers", "L0", "staging of suppliers", _suppliers)
 
 
-def _supplied_lines(f: Frames, line_key: str, how: str) -> DataFrame:
-    suppliers = f["stg_suppliers"].select("s_suppkey")
-    return (
-        f["stg_lines"].join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), how)
-        .groupBy(F.col(line_key).alias("line_key"))
-        .agg(F.countDistinct("s_suppkey").alias("n_suppliers"), F.sum("net").alias("net"))
-    )
+def _supplied_lines(how: str) -> Input:
+    def build(f: Frames) -> DataFrame:
+        suppliers = resolve(f, STG_SUPPLIERS).select("s_suppkey")
+        return resolve(f, STG_LINES).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), how)
+
+    return Input(f"lines and suppliers, {how}", build)
 
 
 def order_performance(
@@ -154,17 +162,19 @@ def order_performance(
     with_events: bool = False,
 ) -> DataFrame:
     orders = f["stg_orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    lines = _supplied_lines(f, line_key, how)
+    supplied = Grouping(_supplied_lines(how), (line_key,),
+                        {"n_suppliers": _by("distinct", "s_suppkey"), "net": _by("sum", "net")})
+    lines = beside(f, supplied).withColumnRenamed(line_key, "line_key")
     if order_key == "o_orderkey":
         calc = orders.join(lines, F.col(order_key) == F.col("line_key"), how)
     else:
         calc = salted_lookup(orders, lines, order_key, "line_key", F.col("o_orderkey"), how)
     if with_events:
-        copies = row_counts(f["events"], "user_id", "user_id")
+        copies = _copies(f, EVENTS, "user_id", "user_id")
         calc = salted_lookup(calc, copies, "o_custkey", "user_id", F.col("o_orderkey"))
         calc = calc.withColumn("net", F.col("net") * times(F.col("copies")))
-    ref = f["stg_lines"].groupBy(F.col("l_orderkey").alias("ref_key")).agg(F.sum("net").alias("ref_net"))
-    return calc.join(ref, F.col("o_orderkey") == F.col("ref_key"), "left").select(
+    ref = beside(f, Grouping(LINES, ("l_orderkey",), {"ref_net": _by("sum", "net")}))
+    return calc.join(ref, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         "o_orderkey", "o_orderstatus", "o_orderpriority",
         _count(F.col("n_suppliers")).alias("n_suppliers"),
         total_or_zero(F.col("net")).alias("revenue_calc"),
@@ -174,31 +184,25 @@ def order_performance(
 
 # sales_by_customer ------------------------------------------------------------------------
 
-def _purchases(f: Frames) -> DataFrame:
-    return f["events"].filter(F.col("event_type") == PURCHASE).select(
-        "event_id", "user_id", money("value").alias("amount")
-    )
+_purchases = Projection("events", lambda: {
+    "event_id": F.col("event_id"), "user_id": F.col("user_id"), "amount": money("value"),
+}, where=lambda: F.col("event_type") == PURCHASE, carry=("event_type",))
+STG_PURCHASES = Step("stg_purchases", "L0", "staging of purchase events", _purchases)
 
 
 def sales_by_customer(
     f: Frames, status: str | None = None, one_join: bool = False, with_paid: bool = True
 ) -> DataFrame:
-    def by_customer(orders: DataFrame) -> DataFrame:
-        return orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-            F.countDistinct("o_orderkey").alias("n_orders"),
-            F.count("*").alias("order_rows"),
-            F.sum("order_total").alias("revenue"),
-        )
-
-    orders = f["stg_orders"]
-    calc = by_customer(orders.filter(F.col("o_orderstatus") == status) if status else orders)
-    ref = by_customer(orders).select("c_custkey", F.col("revenue").alias("ref_revenue"))
-    paid = f["stg_purchases"].groupBy(F.col("user_id").alias("c_custkey")).agg(
-        F.count("*").alias("purchases"), F.sum("amount").alias("paid")
-    )
+    orders, key = step_input(STG_ORDERS), ("o_custkey",)
+    calc = Grouping(orders, key, {
+        "n_orders": _by("distinct", "o_orderkey"), "order_rows": _number(), "revenue": _by("sum", "order_total"),
+    }, (f"status {status}", F.col("o_orderstatus") == status) if status else None)
+    # The reference covers every customer with orders, the other value perhaps fewer.
+    ref = Grouping(orders, key, {"ref_revenue": _by("sum", "order_total")})
+    paid = beside(f, Grouping(step_input(STG_PURCHASES), ("user_id",), {"purchases": _number(), "paid": _by("sum", "amount")}))
     out = (
-        f["customer"].join(calc, "c_custkey", "left").join(paid, "c_custkey", "left")
-        .join(ref, "c_custkey", "left")
+        f["customer"].join(beside(f, ref, calc), F.col("c_custkey") == F.col("o_custkey"), "left")
+        .join(paid, F.col("c_custkey") == F.col("user_id"), "left")
     )
     revenue, paid_calc = F.col("revenue"), total_or_zero(F.col("paid"))
     if one_join:
@@ -220,23 +224,22 @@ def sales_by_customer(
 
 # nation_profile ---------------------------------------------------------------------------
 
-def _customers(f: Frames) -> DataFrame:
-    return f["customer"].select("c_custkey", "c_nationkey", money("c_acctbal").alias("balance"))
+_customers = Projection("customer", lambda: {
+    "c_custkey": F.col("c_custkey"), "c_nationkey": F.col("c_nationkey"), "balance": money("c_acctbal"),
+}, key=("c_custkey",))
+STG_CUSTOMERS = Step("stg_customers", "L0", "staging of customers", _customers)
 
 
 def nation_profile(f: Frames, supplier_on: str = "n_nationkey", one_join: bool = False) -> DataFrame:
     def tenth(amount: Column) -> Column:
         return F.round(F.coalesce(amount, F.lit(0).cast("decimal(18,2)")), 1).cast("decimal(38,1)")
 
-    customers = f["stg_customers"].groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
-        F.countDistinct("c_custkey").alias("n_customers"),
-        F.count("*").alias("customer_rows"),
-        F.max("balance").alias("largest"),
-    )
-    balances = f["stg_suppliers"].groupBy(F.col("s_nationkey").alias("supplier_nation")).agg(
-        F.sum("balance").alias("supplied")
-    )
-    ref = balances.select(F.col("supplier_nation").alias("n_nationkey"), F.col("supplied").alias("ref_supplied"))
+    customers = beside(f, Grouping(step_input(STG_CUSTOMERS), ("c_nationkey",), {
+        "n_customers": _by("distinct", "c_custkey"), "customer_rows": _number(), "largest": _by("max", "balance"),
+    })).withColumnRenamed("c_nationkey", "n_nationkey")
+    by_nation = Grouping(step_input(STG_SUPPLIERS), ("s_nationkey",), {"supplied": _by("sum", "balance")})
+    balances = beside(f, by_nation).withColumnRenamed("s_nationkey", "supplier_nation")
+    ref = beside(f, by_nation).toDF("n_nationkey", "ref_supplied")
     out = (
         f["nation"].join(customers, "n_nationkey", "left")
         .join(balances, F.col(supplier_on) == F.col("supplier_nation"), "left")
@@ -256,43 +259,41 @@ def nation_profile(f: Frames, supplier_on: str = "n_nationkey", one_join: bool =
 
 # supplier_season --------------------------------------------------------------------------
 
-def _dated_orders(f: Frames) -> DataFrame:
-    return f["orders"].select(
-        "o_orderkey", "o_custkey",
-        F.year("o_orderdate").alias("o_year"), F.month("o_orderdate").alias("o_month"),
-    )
+_dated_orders = Projection("orders", lambda: {
+    "o_orderkey": F.col("o_orderkey"), "o_custkey": F.col("o_custkey"),
+    "o_year": F.year("o_orderdate"), "o_month": F.month("o_orderdate"),
+}, key=("o_orderkey",))
+STG_DATED_ORDERS = Step("stg_orders", "L0", "staging of orders with year and month", _dated_orders)
+
+
+def _dated_lines(on_month: bool) -> Input:
+    def build(f: Frames) -> DataFrame:
+        lines = resolve(f, STG_LINES).select("l_orderkey", "l_suppkey", "l_linenumber")
+        if on_month:
+            # At most twelve months times the calendar years on file, so this side is broadcast.
+            months = beside(f, Grouping(step_input(STG_DATED_ORDERS), ("o_month", "o_year"), {"copies": _number()}))
+            return lines.join(months.hint("broadcast"), F.col("l_orderkey") == F.col("o_month"))
+        years = resolve(f, STG_DATED_ORDERS).select("o_orderkey", "o_year")
+        return lines.join(years, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("copies", F.lit(1).cast("bigint"))
+
+    return Input("lines dated by month" if on_month else "lines dated by order", build)
 
 
 def supplier_season(
     f: Frames, on_month: bool = False, first_line: Column | None = None
 ) -> DataFrame:
     keys = ("o_year", "l_suppkey")
-    lines = f["stg_lines"].select("l_orderkey", "l_suppkey", "l_linenumber")
-    number = F.col("l_linenumber")
+    number, copies = F.col("l_linenumber"), F.col("copies")
     is_first = F.when(number == 1 if first_line is None else first_line, 1).otherwise(0)
-    if on_month:
-        # At most twelve months times the calendar years on file, so this side is broadcast.
-        months = f["stg_orders"].groupBy("o_month", "o_year").agg(F.count("*").alias("copies"))
-        dated = lines.join(F.broadcast(months), F.col("l_orderkey") == F.col("o_month"))
-    else:
-        years = f["stg_orders"].select("o_orderkey", "o_year")
-        dated = lines.join(years, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
-            "copies", F.lit(1).cast("bigint")
-        )
-    copies = F.col("copies")
-    calc = dated.groupBy(*keys).agg(
-        F.sum(copies).alias("n_lines"),
-        F.sum(is_first * copies).alias("firsts_calc"),
-        F.sum(F.when(number <= 3, 1).otherwise(0) * copies).alias("early_lines"),
-        F.sum(number * copies).alias("numbers"),
-    )
-    ref = (
-        lines.filter(number == 1)
-        .join(f["stg_orders"].select("o_orderkey", "o_year"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(*keys).agg(F.count("*").alias("ref_firsts"))
-    )
+    calc = Grouping(_dated_lines(on_month), keys, {
+        "n_lines": _by("sum", "copies"),
+        "firsts_calc": ("sum", is_first * copies),
+        "early_lines": ("sum", F.when(number <= 3, 1).otherwise(0) * copies),
+        "numbers": ("sum", number * copies),
+    })
+    ref = Grouping(_dated_lines(False), keys, {"ref_firsts": _number()}, ("first line", number == 1))
     names = f["supplier"].select("s_suppkey", "s_name")
-    out = calc.join(ref, list(keys), "left").join(names, F.col("l_suppkey") == F.col("s_suppkey"))
+    out = beside(f, calc, ref).join(names, F.col("l_suppkey") == F.col("s_suppkey"))
     return keyed(
         out.select(
             "o_year", "l_suppkey", "s_name", "n_lines", "firsts_calc", "early_lines",
@@ -305,34 +306,33 @@ def supplier_season(
 
 # part_margin ------------------------------------------------------------------------------
 
-def _open_orders(f: Frames) -> DataFrame:
-    return f["orders"].filter(F.col("o_orderstatus") == "O").select(
-        "o_orderkey", "o_custkey", "o_orderstatus"
-    )
+_open_orders = Projection("orders", lambda: {
+    "o_orderkey": F.col("o_orderkey"), "o_custkey": F.col("o_custkey"), "o_orderstatus": F.col("o_orderstatus"),
+}, where=lambda: F.col("o_orderstatus") == "O", key=("o_orderkey",))
+STG_OPEN_ORDERS = Step("stg_orders", "L0", "staging of open orders", _open_orders)
+
+
+def _open_lines(order_key: str) -> Input:
+    """Lines of open orders, each once, with the number of open orders it belongs to."""
+
+    def build(f: Frames) -> DataFrame:
+        lines = resolve(f, STG_LINES).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "quantity", "gross", "net")
+        copies = _copies(f, step_input(STG_OPEN_ORDERS), order_key, "order_key").select(
+            "order_key", F.col("copies").cast("decimal(9,0)").alias("copies"))
+        if order_key == "o_orderkey":
+            return lines.join(copies, F.col("l_orderkey") == F.col("order_key"))
+        spread = F.struct("l_partkey", "l_suppkey", "l_linenumber")
+        return salted_lookup(lines, copies, "l_orderkey", "order_key", spread, "inner")
+
+    return Input(f"lines of open orders by {order_key}", build)
 
 
 def part_margin(f: Frames, order_key: str = "o_orderkey", amount: str = "net") -> DataFrame:
     keys = ("l_partkey", "l_suppkey")
-    lines = f["stg_lines"].select("l_orderkey", *keys, "l_linenumber", "quantity", "gross", "net")
-    if order_key == "o_orderkey":
-        open_orders = f["stg_orders"].select("o_orderkey")
-        open_lines, n = lines.join(open_orders, F.col("l_orderkey") == F.col("o_orderkey")), None
-    else:
-        copies = row_counts(f["stg_orders"], order_key, "order_key")
-        spread = F.struct("l_partkey", "l_suppkey", "l_linenumber")
-        open_lines = salted_lookup(lines, copies, "l_orderkey", "order_key", spread, "inner")
-        n = F.col("copies")
-    calc = open_lines.groupBy(*keys).agg(
-        F.sum(repeated(F.col("quantity"), n)).alias("quantity"),
-        F.sum(repeated(F.col(amount), n)).alias("amount"),
-    )
-    ref = (
-        lines.join(
-            f["stg_orders"].select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi"
-        )
-        .groupBy(*keys).agg(F.sum("net").alias("ref_net"))
-    )
-    out = calc.join(ref, list(keys), "left")
+    calc = Grouping(_open_lines(order_key), keys, {
+        "quantity": ("sum", F.col("quantity") * F.col("copies")), "amount": ("sum", F.col(amount) * F.col("copies"))})
+    ref = Grouping(_open_lines("o_orderkey"), keys, {"ref_net": _by("sum", "net")})
+    out = beside(f, calc, ref)
     return keyed(
         out.select(
             *keys,
@@ -347,31 +347,27 @@ def part_margin(f: Frames, order_key: str = "o_orderkey", amount: str = "net") -
 # item_sales -------------------------------------------------------------------------------
 
 def _dates(f: Frames) -> DataFrame:
-    day = F.to_date("l_shipdate")
-    return f["lineitem"].select(day.alias("d_day")).distinct().select(
-        "d_day", F.year("d_day").alias("d_year"), F.month("d_day").alias("d_month")
-    )
+    return beside(f, Grouping(LINES, ("ship_day",))).select(
+        F.col("ship_day").alias("d_day"), F.year("ship_day").alias("d_year"), F.month("ship_day").alias("d_month"))
 
 
-def item_sales(f: Frames, item_key: str = "l_partkey", period: Column | None = None) -> DataFrame:
-    def sold(key: str, where: Column) -> DataFrame:
-        # One row per calendar day, whatever the number of lines, so this side is broadcast.
-        days = F.broadcast(f["stg_dates"].filter(where).select("d_day"))
-        return (
-            f["stg_lines"].join(days, F.col("ship_day") == F.col("d_day"))
-            .groupBy(F.col(key).alias("p_partkey"))
-            .agg(
-                F.countDistinct("l_orderkey").alias("n_orders"),
-                F.sum("quantity").alias("units"),
-                F.sum("net").alias("sales"),
-            )
-        )
+def _sold_lines() -> Input:
+    # One row per calendar day, whatever the number of lines, so this side is broadcast.
+    return Input("lines with their day", lambda f: resolve(f, STG_LINES).join(
+        _dates(f).hint("broadcast"), F.col("ship_day") == F.col("d_day")))
 
-    in_year = F.col("d_year") == ITEM_YEAR
-    calc = sold(item_key, in_year if period is None else period)
-    ref = sold("l_partkey", in_year).select("p_partkey", F.col("sales").alias("ref_sales"))
+
+def item_sales(f: Frames, item_key: str = "l_partkey", period: tuple[str, Column] | None = None) -> DataFrame:
+    # The year's days are named as a range too, which reaches the scan of the lines.
+    first, after = (F.lit(datetime.date(y, 1, 1)) for y in (ITEM_YEAR, ITEM_YEAR + 1))
+    in_year = (f"year {ITEM_YEAR}", (F.col("d_year") == ITEM_YEAR) & (F.col("ship_day") >= first) & (F.col("ship_day") < after))
+    calc = Grouping(_sold_lines(), (item_key,), {
+        "n_orders": _by("distinct", "l_orderkey"), "units": _by("sum", "quantity"), "sales": _by("sum", "net"),
+    }, period or in_year)
+    ref = Grouping(_sold_lines(), ("l_partkey",), {"ref_sales": _by("sum", "net")}, in_year)
+    sold = beside(f, calc, ref).withColumnRenamed(item_key, "p_partkey")
     items = f["stg_parts"].select("p_partkey", "p_name", "p_brand")
-    return calc.join(items, "p_partkey").join(ref, "p_partkey", "left").select(
+    return sold.join(items, "p_partkey").select(
         "p_partkey", "p_name", "p_brand", "n_orders",
         total(F.col("units")).alias("units_calc"),
         total(F.col("sales")).alias("sales_calc"),
@@ -382,71 +378,66 @@ def item_sales(f: Frames, item_key: str = "l_partkey", period: Column | None = N
 # supplier_stats ---------------------------------------------------------------------------
 
 def supplier_stats(f: Frames, supplier_key: str = "s_suppkey", flag: str | None = None) -> DataFrame:
-    lines = f["stg_lines"].select("l_suppkey", "l_partkey", "l_returnflag")
     kept = F.when(F.col("l_returnflag") == "N", 1).otherwise(0)
-    calc = (
-        (lines.filter(F.col("l_returnflag") == flag) if flag else lines)
-        .groupBy(F.col("l_suppkey").alias("line_key"))
-        .agg(
-            F.count("*").alias("n_lines_calc"),
-            F.sum(kept).alias("n_kept"),
-            F.countDistinct("l_partkey").alias("n_parts"),
-        )
-    )
+    calc = Grouping(LINES, ("l_suppkey",), {
+        "n_lines_calc": _number(), "n_kept": ("sum", kept), "n_parts": _by("distinct", "l_partkey"),
+    }, (f"flag {flag}", F.col("l_returnflag") == flag) if flag else None)
+    ref = Grouping(LINES, ("l_suppkey",), {"ref_lines": _number()})
     suppliers = f["stg_suppliers"].select("s_suppkey", "s_name", "s_nationkey")
     if supplier_key == "s_suppkey":
-        out = suppliers.join(calc, F.col("s_suppkey") == F.col("line_key"))
+        out = suppliers.join(beside(f, calc, ref), F.col("s_suppkey") == F.col("l_suppkey"))
     else:
-        out = salted_lookup(suppliers, calc, supplier_key, "line_key", F.col("s_suppkey"), "inner")
-    ref = row_counts(lines, "l_suppkey", "ref_key", "ref_lines")
-    return out.join(ref, F.col("s_suppkey") == F.col("ref_key"), "left").select(
+        lines = beside(f, calc).withColumnRenamed("l_suppkey", "line_key")
+        out = salted_lookup(suppliers, lines, supplier_key, "line_key", F.col("s_suppkey"), "inner")
+        out = out.join(beside(f, ref), F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    return out.select(
         "s_suppkey", "s_name", "s_nationkey", "n_lines_calc", "n_kept", "n_parts",
         _count(F.col("ref_lines")).alias("n_lines_ref"),
     )
 
 
-def _named_suppliers(f: Frames) -> DataFrame:
-    return f["supplier"].select("s_suppkey", "s_name", "s_nationkey")
+_named_suppliers = Projection("supplier", lambda: {
+    c: F.col(c) for c in ("s_suppkey", "s_name", "s_nationkey")}, key=("s_suppkey",))
 
 
 # order_stats ------------------------------------------------------------------------------
 
-def _settled_orders(f: Frames) -> DataFrame:
-    return f["orders"].filter(F.col("o_orderstatus").isin("F", "O")).select(
-        "o_orderkey", "o_orderstatus", "o_orderpriority"
-    )
+_settled_orders = Projection("orders", lambda: {
+    c: F.col(c) for c in ("o_orderkey", "o_orderstatus", "o_orderpriority")
+}, where=lambda: F.col("o_orderstatus").isin("F", "O"), key=("o_orderkey",))
+
+
+def _returned() -> Grouping:
+    return Grouping(LINES, ("l_orderkey",), {"discounts": _by("sum", "discount"), "n_returned": _number()},
+                    ("returned", F.col("l_returnflag") == "R"))
+
+
+def _average_discount() -> Column:
+    return mean(F.col("discounts"), F.col("n_returned"), 4).alias("average_discount")
 
 
 def _returns(f: Frames) -> DataFrame:
-    return (
-        f["lineitem"].filter(F.col("l_returnflag") == "R")
-        .select(F.col("l_orderkey").alias("o_orderkey"), rate("l_discount").alias("discount"))
-        .groupBy("o_orderkey")
-        .agg(
-            mean(F.sum("discount"), F.count("*"), 4).alias("average_discount"),
-            F.count("*").alias("n_returned"),
-        )
-    )
+    return beside(f, _returned()).select(F.col("l_orderkey").alias("o_orderkey"), _average_discount(), "n_returned")
 
 
 def _line_counts(f: Frames) -> DataFrame:
-    return row_counts(f["lineitem"], "l_orderkey", "o_orderkey", "n_lines")
+    return beside(f, Grouping(LINES, ("l_orderkey",), {"n_lines": _number()})).withColumnRenamed("l_orderkey", "o_orderkey")
 
 
 def order_stats(f: Frames, status: str | None = None, returns: str = "left") -> DataFrame:
     orders = f["stg_orders"]
     if status:
         orders = orders.filter(F.col("o_orderstatus") == status)
-    ref = row_counts(f["lineitem"], "l_orderkey", "o_orderkey", "ref_lines")
-    return (
-        orders.join(f["stg_returns"], "o_orderkey", returns)
-        .join(f["stg_line_counts"], "o_orderkey", "left")
-        .join(ref, "o_orderkey", "left")
-        .select(
-            "o_orderkey", "o_orderstatus", "o_orderpriority", "average_discount", "n_returned",
-            _count(F.col("n_lines")).alias("n_lines_calc"),
-            _count(F.col("ref_lines")).alias("n_lines_ref"),
-        )
+    counted = Grouping(LINES, ("l_orderkey",), {"n_lines": _number()})
+    ref = Grouping(LINES, ("l_orderkey",), {"ref_lines": _number()})
+    lines = beside(f, counted, _returned(), ref)
+    out = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    if returns == "inner":
+        out = out.filter(F.col("n_returned").isNotNull())
+    return out.select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", _average_discount(), "n_returned",
+        _count(F.col("n_lines")).alias("n_lines_calc"),
+        _count(F.col("ref_lines")).alias("n_lines_ref"),
     )
 
 
@@ -466,16 +457,17 @@ def _placed_suppliers(f: Frames) -> DataFrame:
 
 
 def supplier_sales(f: Frames, line_key: str = "l_suppkey", with_events: bool = False) -> DataFrame:
-    calc = f["stg_lines"].groupBy(F.col(line_key).alias("s_suppkey")).agg(
-        F.count("*").alias("line_rows"), F.sum("quantity").alias("units"), F.sum("net").alias("net")
-    )
-    ref = f["stg_lines"].groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(
-        F.sum("net").alias("ref_net")
-    )
-    out = f["stg_suppliers"].join(calc, "s_suppkey", "left").join(ref, "s_suppkey", "left")
+    calc = Grouping(LINES, (line_key,), {"line_rows": _number(), "units": _by("sum", "quantity"), "net": _by("sum", "net")})
+    ref = Grouping(LINES, ("l_suppkey",), {"ref_net": _by("sum", "net")})
+    suppliers = f["stg_suppliers"]
+    if line_key == "l_suppkey":
+        out = suppliers.join(beside(f, calc, ref), F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    else:
+        out = suppliers.join(beside(f, calc), F.col("s_suppkey") == F.col(line_key), "left").join(
+            beside(f, ref), F.col("s_suppkey") == F.col("l_suppkey"), "left")
     n = None
     if with_events:
-        out = out.join(row_counts(f["events"], "user_id", "s_suppkey"), "s_suppkey", "left")
+        out = out.join(_copies(f, EVENTS, "user_id", "user_id"), F.col("s_suppkey") == F.col("user_id"), "left")
         n = times(F.col("copies"))
     return out.select(
         "s_suppkey", "supplier_name", "nation", "region",
@@ -501,14 +493,14 @@ def _placed_customers(f: Frames) -> DataFrame:
     )
 
 
+PLACED_CUSTOMERS = Input("customers with nation and region", _placed_customers)
+
+
 def region_stats(f: Frames, customer_key: str = "r_regionkey", only_negative: bool = False) -> DataFrame:
-    customers = f["stg_customers"]
-    if only_negative:
-        customers = customers.filter(F.col("balance") < 0)
-    calc = customers.groupBy(F.col(customer_key).alias("calc_region")).agg(
-        F.countDistinct("c_custkey").alias("n_customers"),
-        F.sum(F.when(F.col("balance") >= 0, 1).otherwise(0)).alias("n_active"),
-    )
+    negative = ("negative balance", F.col("balance") < 0) if only_negative else None
+    calc = beside(f, Grouping(PLACED_CUSTOMERS, (customer_key,), {
+        "n_customers": _by("distinct", "c_custkey"), "n_active": ("sum", F.when(F.col("balance") >= 0, 1).otherwise(0)),
+    }, negative)).withColumnRenamed(customer_key, "calc_region")
     managers = f["supplier"].select("s_suppkey", "s_name")
     nations = f["nation"].select("n_nationkey", F.col("n_regionkey").alias("ref_region"))
     ref = (
@@ -529,8 +521,6 @@ def region_stats(f: Frames, customer_key: str = "r_regionkey", only_negative: bo
     )
 
 
-STG_PARTS = Step("stg_parts", "L0", "staging of parts with list price", _parts)
-
 PIPELINES: dict[str, Pipeline] = {
     p.pipeline_id: p
     for p in (
@@ -557,7 +547,7 @@ PIPELINES: dict[str, Pipeline] = {
             "L1 order_performance: per order the suppliers used, revenue_calc along the chain and "
             "revenue_ref recomputed apart.",
             (STG_ORDERS, STG_LINES,
-             Step("stg_suppliers", "L0", "staging of suppliers", _suppliers),
+             STG_SUPPLIERS,
              Step("order_performance", "L1", "revenue per order with its recomputation", order_performance)),
             source_table="stg_orders",
         ),
@@ -566,7 +556,7 @@ PIPELINES: dict[str, Pipeline] = {
             "L0 stg_orders, stg_purchases: orders and purchase events.\n"
             "L1 sales_by_customer: per customer ordered and paid amounts, each also recomputed.",
             (STG_ORDERS,
-             Step("stg_purchases", "L0", "staging of purchase events", _purchases),
+             STG_PURCHASES,
              Step("sales_by_customer", "L1", "sales per customer with their recomputation", sales_by_customer)),
             source_table="customer",
         ),
@@ -575,8 +565,8 @@ PIPELINES: dict[str, Pipeline] = {
             "L0 stg_customers, stg_suppliers: customers and suppliers with balance.\n"
             "L1 nation_profile: per nation customers, largest balance and supplier balance, the "
             "last also recomputed.",
-            (Step("stg_customers", "L0", "staging of customers", _customers),
-             Step("stg_suppliers", "L0", "staging of suppliers", _suppliers),
+            (STG_CUSTOMERS,
+             STG_SUPPLIERS,
              Step("nation_profile", "L1", "profile per nation with its recomputation", nation_profile)),
             source_table="nation",
         ),
@@ -586,7 +576,7 @@ PIPELINES: dict[str, Pipeline] = {
             "L1 supplier_season: per order year and supplier lines, first lines, early lines and "
             "mean line number; first lines also recomputed.",
             (STG_LINES,
-             Step("stg_orders", "L0", "staging of orders with year and month", _dated_orders),
+             STG_DATED_ORDERS,
              Step("supplier_season", "L1", "season per supplier with its recomputation", supplier_season)),
             source_table="stg_lines", heavy=True,
         ),
@@ -596,7 +586,7 @@ PIPELINES: dict[str, Pipeline] = {
             "L1 part_margin: per part and supplier quantity and net revenue over open orders, the "
             "revenue also recomputed.",
             (STG_LINES,
-             Step("stg_orders", "L0", "staging of open orders", _open_orders),
+             STG_OPEN_ORDERS,
              Step("part_margin", "L1", "margin per part and supplier with its recomputation", part_margin)),
             source_table="stg_lines", heavy=True,
         ),

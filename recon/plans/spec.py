@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from recon.functions.text import key_text
 from recon.operators.reconcile import diff, missing_rows, row_mismatch
@@ -14,6 +14,32 @@ Frames = Mapping[str, DataFrame]
 Build = Callable[[Frames], DataFrame]
 
 
+class StagedFrames(dict):
+    """Frames by name, and the graph of shared steps they come from, if any."""
+
+    def __init__(self, frames: Frames, graph=None):
+        super().__init__(frames)
+        self.graph = graph or getattr(frames, "graph", None)
+
+
+@dataclass(frozen=True)
+class Projection:
+    """A staging step that only selects: columns of one source, under a condition on those or on ``carry``.
+
+    ``key`` is unique in the source (empty where there is none); rows of a shared copy are bucketed by it.
+    """
+
+    source: str
+    columns: Callable[[], dict[str, Column]]
+    where: Callable[[], Column] | None = None
+    carry: tuple[str, ...] = ()
+    key: tuple[str, ...] = ()
+
+    def __call__(self, f: Frames) -> DataFrame:
+        rows = f[self.source].where(self.where()) if self.where else f[self.source]
+        return rows.select(*[c.alias(n) for n, c in self.columns().items()])
+
+
 @dataclass(frozen=True)
 class Step:
     """One named transformation with its layer label."""
@@ -23,6 +49,10 @@ class Step:
     description: str
     build: Build
 
+    @property
+    def projection(self) -> Projection | None:
+        return self.build if isinstance(self.build, Projection) else None
+
 
 @dataclass(frozen=True)
 class Pipeline:
@@ -47,9 +77,10 @@ class Pipeline:
 
     def staging(self, sources: Frames) -> dict[str, DataFrame]:
         """Sources plus every staging step, shared by the clean report and its traps."""
-        frames = dict(sources)
+        frames = StagedFrames(sources)
         for step in self.steps[:-1]:
-            frames[step.name] = step.build(frames)
+            shared = frames.graph and step.projection
+            frames[step.name] = frames.graph.projected(step) if shared else step.build(frames)
         return frames
 
     def report(self, sources: Frames, final: Build | None = None) -> DataFrame:

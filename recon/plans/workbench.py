@@ -7,16 +7,19 @@ is built once, and seeds are a join.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recon.operators import sampling, walk
+from recon.operators.reconcile import diff_many
 from recon.plans.defects import DEFECTS, DEFECTS_BY_ID
 from recon.plans.reports import PIPELINES
-from recon.plans.spec import Defect, Pipeline
-from recon.sources.store import store_for
+from recon.plans.spec import Defect, Frames, Pipeline, StagedFrames
+from recon.plans.staging import StepGraph
+from recon.sources.store import CONCURRENT_WRITES, store_for
 from recon.sources.tables import SourceTables
 
 EPISODES_PER_DEFECT = 6
@@ -64,26 +67,33 @@ class Workbench:
         self.sources = SourceTables(spark, folder)
         self.store = store_for(spark, self.sources.folder)
         self.defects = defect_table(spark)
+        self.graph = self.store.once("graph", lambda: StepGraph(
+            self.store, self.sources, [s for p in PIPELINES.values() for s in p.steps]))
+
+    def staged(self) -> StagedFrames:
+        """The sources with all staging that reports share, written once."""
+        reports: list[Callable[[Frames], object]] = [p.report for p in PIPELINES.values()]
+        reports += [lambda f, d=d: d.trap(PIPELINES[d.pipeline_id], f) for d in DEFECTS]
+        self.store.size_buckets(self.sources["lineitem"])
+        self.graph.write(reports)
+        return self.graph.frames()
 
     def clean(self, pipeline_id: str) -> DataFrame:
         pipeline = PIPELINES[pipeline_id]
-        return self.store.table(f"clean_{pipeline_id}", lambda: pipeline.report(self.sources))
+        return self.store.table(f"clean_{pipeline_id}", lambda: pipeline.report(self.staged()))
 
     def trap(self, defect_id: str) -> DataFrame:
         defect = DEFECTS_BY_ID[defect_id]
         pipeline = PIPELINES[defect.pipeline_id]
-        return self.store.table(f"trap_{defect_id}", lambda: defect.trap(pipeline, self.sources))
+        return self.store.table(f"trap_{defect_id}", lambda: defect.trap(pipeline, self.staged()))
 
     def write_reports(self) -> None:
         """Write all reports and traps, several jobs at a time."""
-        builds: dict[str, Callable[[], DataFrame]] = {
-            f"clean_{p.pipeline_id}": (lambda p=p: p.report(self.sources)) for p in PIPELINES.values()
-        }
-        builds |= {
-            f"trap_{d.defect_id}": (lambda d=d: d.trap(PIPELINES[d.pipeline_id], self.sources))
-            for d in DEFECTS
-        }
-        self.store.tables(builds)
+        self.staged()
+        builds: list[Callable[[], DataFrame]] = [lambda p=p: self.clean(p) for p in PIPELINES]
+        builds += [lambda d=d: self.trap(d.defect_id) for d in DEFECTS]
+        with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
+            list(pool.map(lambda build: build(), builds))
 
     def per_defect(self, build: Callable[[Defect, Pipeline], DataFrame]) -> DataFrame:
         self.write_reports()
@@ -97,21 +107,25 @@ class Workbench:
     def flagged(self) -> DataFrame:
         """All keys the full diff flags, for every defect."""
 
-        def one(d: Defect, p: Pipeline) -> DataFrame:
-            found = d.diff(p, self.trap(d.defect_id), self.clean(p.pipeline_id))
-            return found.select(
-                "flagged_pk", "side",
-                F.col("reported").cast("decimal(38,4)").alias("reported"),
-                F.col("expected").cast("decimal(38,4)").alias("expected"),
-            )
+        def build() -> DataFrame:
+            self.write_reports()
+            pairs = {}
+            for d in DEFECTS:
+                p = PIPELINES[d.pipeline_id]
+                pairs[d.defect_id] = (self.trap(d.defect_id), self.clean(p.pipeline_id), p.keys, d.primary)
+            return diff_many(pairs, "defect_id", "decimal(38,4)")
 
-        return self.store.table("flagged", lambda: self.per_defect(one))
+        return self.store.table("flagged", build)
 
     def gold_flagged(self) -> DataFrame:
         """All keys the gold diagnostic flags on the trap, for every defect."""
 
+        staging: dict[str, Frames] = {}
+
         def one(d: Defect, p: Pipeline) -> DataFrame:
-            return d.gold(p, self.trap(d.defect_id), p.staging(self.sources))
+            if p.pipeline_id not in staging:
+                staging[p.pipeline_id] = p.staging(self.staged())
+            return d.gold(p, self.trap(d.defect_id), staging[p.pipeline_id])
 
         return self.store.table("gold_flagged", lambda: self.per_defect(one))
 
@@ -151,7 +165,7 @@ class Workbench:
         def build() -> DataFrame:
             frames = []
             for p in PIPELINES.values():
-                staging = p.staging(self.sources)
+                staging = p.staging(self.staged())
                 for position, step in enumerate(reversed(p.steps[:-1]), start=1):
                     frames.append(
                         walk.first_row_text(staging[step.name]).select(

@@ -7,7 +7,9 @@ the pipeline behind them.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections import defaultdict
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from recon.session import shared_dir
 
 CONCURRENT_WRITES = 8
+#: Bytes of the largest source that one bucket stands for.
+BUCKET_BYTES = 128 << 20
 
 
 class TableStore:
@@ -25,18 +29,54 @@ class TableStore:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/recon-{uuid.uuid4().hex}"
         self._written: dict[str, DataFrame] = {}
+        self._locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
+        self._lock = threading.Lock()
+        self._kept: dict[str, object] = {}
+        self.buckets = 0
 
     def location(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Return table ``name``, writing it first if this store has not seen it."""
-        if name not in self._written:
-            path = self.location(name)
-            frame = build()
-            frame.write.parquet(path)
-            self._written[name] = self.spark.read.schema(frame.schema).parquet(path)
-        return self._written[name]
+    def size_buckets(self, largest: DataFrame) -> None:
+        """Choose how many buckets tables have, from the bytes of the largest source; all have as many."""
+        if not self.buckets:
+            size = int(largest._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+            most = int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+            least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.buckets = max(1, min(most, max(least, -(-size // BUCKET_BYTES))))
+
+    def table(self, name: str, build: Callable[[], DataFrame], keys: tuple[str, ...] = ()) -> DataFrame:
+        """Return table ``name``, writing it first if this store has not seen it.
+
+        With ``keys`` it is bucketed by them and sorted within buckets, one file a bucket, so that joins and
+        groupings by these keys need no exchange. Only for keys of which none holds many rows.
+        """
+        with self._lock:
+            lock = self._locks[name]
+        with lock:
+            if name not in self._written:
+                path = self.location(name)
+                frame = build()
+                if keys and self.buckets:
+                    entry = f"recon_{self.root.rsplit('-', 1)[1]}_{name}".lower()
+                    (frame.repartition(self.buckets, *keys).write.bucketBy(self.buckets, *keys).sortBy(*keys)
+                     .option("path", path).saveAsTable(entry))
+                    self._written[name] = self.spark.table(entry)
+                else:
+                    frame.write.parquet(path)
+                    self._written[name] = self.spark.read.schema(frame.schema).parquet(path)
+            return self._written[name]
+
+    def names(self) -> tuple[str, ...]:
+        """The tables written so far."""
+        return tuple(self._written)
+
+    def once(self, name: str, build: Callable[[], object]) -> object:
+        """An object kept for as long as the store."""
+        with self._lock:
+            if name not in self._kept:
+                self._kept[name] = build()
+            return self._kept[name]
 
     def tables(self, builds: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
         """Several independent tables, their jobs submitted side by side."""
