@@ -656,13 +656,10 @@ def seed_grid(b):
 
 @query(Workbench)
 def stratified_split(b):
-    """Flagged keys of a defect as its class, numbered by their place in the planted sample."""
-    numbered = b.planted().select(
-        "defect_id", "seed", "flagged_pk",
-        (F.pmod(F.col("seed") - sampling.SEED_START, F.lit(sampling.SEED_PER_CLASS)) / sampling.SEED_PER_EPISODE * 3
-         + F.col("rank") - 1).cast("bigint").alias("number"),
-    )
-    return sampling.stratified_split(numbered.drop("seed"), "defect_id", "number")
+    """Every flagged key of a defect: the first fifth in the stable order of the defect's first seed are test keys."""
+    first = b.seeds().filter("episode = 0").select("defect_id", "seed")
+    keys = b.gold_flagged().join(F.broadcast(first), "defect_id").select("defect_id", "seed", "flagged_pk")
+    return sampling.split_by_order(keys, "defect_id", "seed", "flagged_pk").drop("seed")
 
 
 @query(Workbench)

@@ -678,12 +678,6 @@ SELECT c.defect_id, CAST(c.class_index AS BIGINT) AS class_index, s.episode,
 FROM (SELECT defect_id, COUNT(*) AS n_flagged FROM ({FLAGGED}) x GROUP BY 1) f
 JOIN ({_values(list((d, i) for d, i in _CLASS.items()), 'defect_id, class_index')}) c USING (defect_id)
 CROSS JOIN ({_SEEDS}) s"""
-SQL["stratified_split"] = f"""
-SELECT defect_id, flagged_pk, CAST(episode * 3 + rank - 1 AS BIGINT) AS number,
-  CASE WHEN episode * 3 + rank - 1 < GREATEST(1, CEIL(COUNT(*) OVER (PARTITION BY defect_id) * 0.2))
-       THEN 'test' ELSE 'train' END AS split
-FROM ({PLANTED}) p"""
-
 SQL["stratified_split_all"] = f"""
 SELECT defect_id, flagged_pk, number,
   CASE WHEN number < GREATEST(1, CEIL(COUNT(*) OVER (PARTITION BY defect_id) * 0.2)) THEN 'test' ELSE 'train' END AS split
@@ -691,6 +685,8 @@ FROM (SELECT defect_id, flagged_pk, ROW_NUMBER() OVER (PARTITION BY defect_id OR
         md5(CAST(9001 + class_index * 10007 AS VARCHAR) || ':' || flagged_pk), flagged_pk) - 1 AS number
       FROM ({GOLD}) g) ranked"""
 
+SQL["stratified_split"] = f"SELECT defect_id, flagged_pk, split FROM ({SQL['stratified_split_all']}) s"
+
 
 def _contexts() -> str:
     """The text of each defect before the suspect key, from the declared source columns."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recon.functions.text import stable_order
 from recon.operators.joins import salted_lookup
+from recon.sources.store import TableStore
 
 # The seed grid and the size of a planted sample.
 SEED_START, SEED_PER_CLASS, SEED_PER_EPISODE = 9001, 10_007, 911
@@ -16,6 +17,8 @@ PLANTED = 3
 TEST_SHARE = 0.2
 # Blocks of a numbered group: rows each, and the most leading digits of the order that name one.
 BLOCK_ROWS, MOST_DIGITS = 2_000, 3
+# Digits of the order by which a selection refines a range, and the range it need not refine.
+RANGE_DIGITS, SMALL_RANGE = 3, 4_096
 
 
 def seed_grid(
@@ -71,6 +74,60 @@ def test_size(n: Column, share: float = TEST_SHARE) -> Column:
     return F.greatest(F.lit(1), F.ceil(n * F.lit(share))).cast("bigint")
 
 
+def cut_points(rows: DataFrame, group: str, order: str, key: str, share: float = TEST_SHARE) -> DataFrame:
+    """Per group the (order, key) up to which its rows make up ``share`` of it, at least one row.
+
+    A distributed selection: rows are counted by the leading hex digits of their order, the range that holds the
+    wanted rank is counted by further digits, and so on until ranges are small; the row is then found among the
+    distinct (order, key) of one range. Every round is one aggregation of at most 16 ** RANGE_DIGITS rows a
+    group, whose result is written; only the size of the largest range comes to the driver. Returns
+    (group, cut_order, cut_key).
+    """
+    store = TableStore(rows.sparkSession)
+    wanted = store.table("wanted", lambda: rows.groupBy(F.col(group).alias("_class")).agg(F.count("*").alias("_n")).select(
+        "_class", F.lit("").alias("_range"), test_size(F.col("_n"), share).alias("_rank"), "_n"))
+    digits = 0
+    while (wanted.agg(F.max("_n")).first()[0] or 0) > SMALL_RANGE and digits < 30:
+        digits += RANGE_DIGITS
+        counted = _within(rows, wanted, group, order, key).groupBy(
+            F.col(group).alias("_class"), F.substring(order, 1, digits).alias("_at")).agg(
+            F.count("*").alias("_n"), F.min("_rank").alias("_rank"))
+        wanted = store.table(f"wanted-{digits}", lambda c=counted: _holding(c, "_at").select(
+            "_class", F.col("_at").alias("_range"), (F.col("_rank") - F.col("_before")).alias("_rank"), "_n"))
+    last = _within(rows, wanted, group, order, key).groupBy(
+        F.col(group).alias("_class"), F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("_at")).agg(
+        F.count("*").alias("_n"), F.min("_rank").alias("_rank"))
+    return store.table("cuts", lambda: _holding(last, "_at").select(
+        F.col("_class").alias(group), F.col("_at.o").alias("cut_order"), F.col("_at.k").alias("cut_key")))
+
+
+def _within(rows: DataFrame, wanted: DataFrame, group: str, order: str, key: str) -> DataFrame:
+    """The rows of each group's wanted range."""
+    found = salted_lookup(rows, wanted.select("_class", "_range", "_rank"), group, "_class", F.col(key), "inner")
+    return found.where(F.startswith(order, "_range"))
+
+
+def _holding(counted: DataFrame, at: str) -> DataFrame:
+    """Of counted ranges the one of each class that holds its rank, with the rows before it."""
+    before = Window.partitionBy("_class").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    summed = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return summed.where((F.col("_before") < F.col("_rank")) & (F.col("_rank") <= F.col("_before") + F.col("_n")))
+
+
+def split_by_order(rows: DataFrame, group: str, seed: str, key: str, share: float = TEST_SHARE) -> DataFrame:
+    """``rows`` with ``split``: of every group the first ``share`` in stable order are its test rows.
+
+    At least one row of a group is; equal keys of a group fall on one side, so that a key that repeats across
+    the cut makes the test part larger. A null key has its own place in that order. No row is numbered and no group is sorted:
+    rows are compared with their group's cut.
+    """
+    ordered = rows.withColumn("_order", F.coalesce(stable_order(F.col(seed), F.col(key)), F.lit("")))
+    cuts = cut_points(ordered, group, "_order", key, share).withColumnRenamed(group, "_class")
+    judged = salted_lookup(ordered, cuts, group, "_class", F.col(key))
+    mine, cut = F.struct(F.col("_order").alias("o"), F.col(key).alias("k")), F.struct(F.col("cut_order").alias("o"), F.col("cut_key").alias("k"))
+    return judged.withColumn("split", F.when(mine <= cut, "test").otherwise("train")).drop("_order", "cut_order", "cut_key")
+
+
 def stratified_split(
     episodes: DataFrame, group: str, number: str, share: float = TEST_SHARE
 ) -> DataFrame:
