@@ -81,6 +81,26 @@ def load_csv_dropped(b):
     return loaded.dropped.select("o_orderkey", F.col(loaders.BAD_ROW).alias("line"))
 
 
+@query(Workbench)
+def csv_multiline(b):
+    """Parts as CSV whose quoted names hold line breaks, separators and quotes, read back."""
+    path = b.store.path("parts-csv")
+    name = F.concat(
+        F.col("p_name"), F.when(_every(3, "p_partkey"), F.lit('\nsays "so",')).otherwise(F.lit("")),
+        F.when(_every(5, "p_partkey"), F.lit("\n\nend\n")).otherwise(F.lit("")),
+    )
+    quoted = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, F.col("p_brand"))
+    line = F.when(_every(97, "p_partkey"), F.concat(line, F.lit(",surplus"))).otherwise(line)
+    b.sources["part"].select(line.alias("value")).write.text(path)
+    kind = T.StructType().add("p_partkey", "bigint").add("p_name", "string").add("p_brand", "string")
+    loaded = loaders.load_csv_checked(b.spark, path, kind)
+    refused = loaded.dropped.select(
+        "p_partkey", F.lit(None).cast("string").alias("p_name"), F.lit(None).cast("string").alias("p_brand"),
+        F.col(loaders.BAD_ROW).alias("refused"))
+    return loaded.rows.withColumn("refused", F.lit(None).cast("string")).unionByName(refused)
+
+
 @query(Workbench)
 def load_tsv_nulls(b):
     path = b.store.path("customers-tsv")

@@ -35,6 +35,14 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0
             THEN {_ORDER_LINE} || ',' || CAST(CAST(o_totalprice AS {MONEY}) AS VARCHAR) || ',surplus'
             ELSE {_ORDER_LINE} END AS line
 FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0"""
+_PART_NAME = """p_name || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || 'says "so",' ELSE '' END
+    || CASE WHEN p_partkey % 5 = 0 THEN chr(10) || chr(10) || 'end' || chr(10) ELSE '' END"""
+SQL["csv_multiline"] = f"""
+SELECT p_partkey, CASE WHEN p_partkey % 97 <> 0 THEN {_PART_NAME} END AS p_name,
+  CASE WHEN p_partkey % 97 <> 0 THEN p_brand END AS p_brand,
+  CASE WHEN p_partkey % 97 = 0 THEN CAST(p_partkey AS VARCHAR) || ',"' || replace({_PART_NAME}, '"', '""') || '",' || p_brand || ',surplus'
+    END AS refused
+FROM part"""
 SQL["load_tsv_nulls"] = """
 SELECT c_custkey, c_name,
        CASE WHEN c_custkey % 7 = 0 OR c_custkey % 17 = 0 THEN NULL ELSE CAST(c_nationkey AS BIGINT) END AS c_nationkey,

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recon.sources.records import records
+
 BAD_ROW = "_bad_row"
 
 
@@ -25,13 +27,13 @@ def load_csv_checked(
     """CSV (plain or gzip) with a fixed column list; rows with another field count are refused.
 
     A row with a wrong number of fields or a value that does not fit its declared type lands in
-    ``dropped`` whole. Lines are parsed as a column, so the field count is checked whichever
-    columns are used later.
+    ``dropped`` whole. Quoted fields may hold line breaks, separators and doubled quotes. Records are
+    parsed as a column, so the field count is checked whichever columns are used later.
     """
     with_bad = T.StructType([*columns.fields, T.StructField(BAD_ROW, T.StringType())])
-    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_ROW}
+    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_ROW}
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_bad.fields)
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    lines = records(spark, path, sep).withColumnRenamed("record", "value")
     read = lines.select("value", F.from_csv("value", ddl, options).alias("row"))
     good = read.filter(F.col(f"row.{BAD_ROW}").isNull()).select("row.*").drop(BAD_ROW)
     if row_filter is not None:
