@@ -93,7 +93,7 @@ def csv_multiline(b):
     line = F.concat_ws(",", F.col("p_partkey").cast("string"), quoted, F.col("p_brand"))
     line = F.when(_every(97, "p_partkey"), F.concat(line, F.lit(",surplus"))).otherwise(line)
     b.sources["part"].select(line.alias("value")).write.text(path)
-    kind = T.StructType().add("p_partkey", "bigint").add("p_name", "string").add("p_brand", "string")
+    kind = T.StructType().add("p_partkey", "long").add("p_name", "string").add("p_brand", "string")
     loaded = loaders.load_csv_checked(b.spark, path, kind)
     refused = loaded.dropped.select(
         "p_partkey", F.lit(None).cast("string").alias("p_name"), F.lit(None).cast("string").alias("p_brand"),
@@ -430,6 +430,10 @@ def _event_candidates(s) -> DataFrame:
     user, kind = F.col("user_id").cast("string"), F.col("event_type")
     sql = (
         F.when(_every(23, "event_id"), "  ")
+        .when(_every(29, "event_id"), F.concat(
+            F.lit("-- from zz_truth; drop\nSELECT event_id, 'zz_top; it''s from nowhere' AS note FROM customer /* join part */ WHERE \"C_Name\" = "),
+            user, F.lit(" ; -- done;")))
+        .when(_every(31, "event_id"), F.concat(F.lit("select `zz_hidden`.a from main.work.`Part` where b = "), user))
         .when(kind == "view", F.concat(F.lit("SELECT c_custkey FROM customer_revenue WHERE revenue_calc > "), user))
         .when(kind == "click", F.concat(
             F.lit("with t as (select * from work.order_value) select o_orderkey from t where net_value < "), user, F.lit("; ")))

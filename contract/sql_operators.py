@@ -241,26 +241,30 @@ SQL["fanout_profile"] = union([
 # candidate queries ------------------------------------------------------------------------
 
 _CANDIDATES = """
-SELECT event_id, event_type, event_id % 23 = 0 AS blank, CAST(user_id AS VARCHAR) AS u FROM events"""
+SELECT event_id, CASE WHEN event_id % 23 = 0 THEN 'blank' WHEN event_id % 29 = 0 THEN 'noted' WHEN event_id % 31 = 0 THEN 'quoted'
+  ELSE event_type END AS shape, CAST(user_id AS VARCHAR) AS u FROM events"""
 SQL["screen_candidates"] = f"""
-SELECT event_id, NOT blank AND event_type = 'signup' AS uses_truth,
-  CASE WHEN blank THEN 'empty query'
-       WHEN event_type = 'signup' THEN 'query must not reference the hidden truth tables'
-       WHEN event_type = 'purchase' THEN 'only SELECT/WITH statements are allowed'
-       WHEN event_type = 'error' THEN 'one statement at a time (no '';'')' ELSE '' END AS error,
-  NOT blank AND event_type IN ('view', 'click') AS allowed
+SELECT event_id, shape IN ('signup', 'quoted') AS uses_truth,
+  CASE WHEN shape = 'blank' THEN 'empty query'
+       WHEN shape IN ('signup', 'quoted') THEN 'query must not reference the hidden truth tables'
+       WHEN shape = 'purchase' THEN 'only SELECT/WITH statements are allowed'
+       WHEN shape = 'error' THEN 'one statement at a time (no '';'')' ELSE '' END AS error,
+  shape IN ('view', 'click', 'noted') AS allowed
 FROM ({_CANDIDATES}) c"""
 SQL["query_references"] = f"""
 SELECT event_id,
-  CASE WHEN blank THEN '' WHEN event_type IN ('view', 'purchase') THEN 'customer_revenue'
-       WHEN event_type = 'click' THEN 'order_value,t' WHEN event_type = 'error' THEN 'part_margin'
+  CASE WHEN shape = 'blank' THEN '' WHEN shape IN ('view', 'purchase') THEN 'customer_revenue'
+       WHEN shape = 'click' THEN 'order_value,t' WHEN shape = 'error' THEN 'part_margin'
+       WHEN shape = 'noted' THEN 'customer' WHEN shape = 'quoted' THEN 'part'
        ELSE 'orders,zz_truth' END AS tables_mentioned,
-  CASE WHEN blank THEN '' WHEN event_type = 'view' THEN 'c_custkey,customer_revenue,revenue_calc'
-       WHEN event_type = 'click' THEN 'net_value,o_orderkey,order_value,t,with,work'
-       WHEN event_type = 'purchase' THEN 'c_custkey,customer_revenue,delete'
-       WHEN event_type = 'error' THEN 'drop,part_margin,t' || u
+  CASE WHEN shape = 'blank' THEN '' WHEN shape = 'view' THEN 'c_custkey,customer_revenue,revenue_calc'
+       WHEN shape = 'click' THEN 'net_value,o_orderkey,order_value,t,with,work'
+       WHEN shape = 'purchase' THEN 'c_custkey,customer_revenue,delete'
+       WHEN shape = 'error' THEN 'drop,part_margin,t' || u
+       WHEN shape = 'noted' THEN 'c_name,customer,event_id,note'
+       WHEN shape = 'quoted' THEN 'a,b,main,part,work,zz_hidden'
        ELSE 'orders,revenue_ref,zz_truth' END AS columns_mentioned,
-  NOT blank AND event_type IN ('view', 'signup') AS names_suspect
+  shape IN ('view', 'signup') AS names_suspect
 FROM ({_CANDIDATES}) c"""
 
 _SEEDS = "SELECT CAST(range AS BIGINT) AS episode FROM range(6)"

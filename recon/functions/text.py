@@ -1,4 +1,4 @@
-"""Text columns: key rendering, row rendering, stable ordering, reference extraction."""
+"""Text columns: key rendering, row rendering, stable ordering, quoting."""
 
 from __future__ import annotations
 
@@ -7,18 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words of a query that are not column names.
-SQL_KEYWORDS = (
-    "select", "from", "where", "join", "on", "and", "or", "not", "as", "in", "between", "like",
-    "group", "by", "having", "order", "limit", "null", "is", "left", "right", "inner", "outer",
-    "max", "min", "sum", "avg", "count", "abs", "sq", "sqrt", "round", "cast", "case", "when",
-    "then", "else", "end", "distinct", "if", "strftime", "substr", "insert", "table", "create",
-    "values", "use", "into", "desc", "asc",
-)
-# The patterns that find table names and words in a query.
-TABLE_PATTERN = r'(?i)(?:FROM|JOIN)\s+(?:work\.|mylib\.)?"?([A-Za-z_][A-Za-z0-9_]*)"?'
-WORD_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*"
-
 
 def key_text(keys: Sequence[str]) -> Column:
     """The reported key as text. A single NULL key stays NULL.
@@ -56,17 +44,6 @@ def row_text(columns: Sequence[tuple[str, Column]], limit: int | None = None) ->
     return F.concat_ws(" | ", *[field_text(n, c) for n, c in list(columns)[:limit]])
 
 
-def tables_mentioned(sql: Column) -> Column:
-    names = F.regexp_extract_all(sql, F.lit(TABLE_PATTERN), 1)
-    return F.array_sort(F.array_distinct(F.transform(names, F.lower)))
-
-
-def columns_mentioned(sql: Column) -> Column:
-    words = F.transform(F.regexp_extract_all(sql, F.lit(WORD_PATTERN), 0), F.lower)
-    keywords = F.array(*[F.lit(w) for w in SQL_KEYWORDS])
-    return F.array_sort(F.array_except(words, keywords))
-
-
 def sql_literal(value: Column) -> Column:
     """A text value quoted for use inside a query."""
     quoted = F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("''")), F.lit("'"))

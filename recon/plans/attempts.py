@@ -97,7 +97,8 @@ def probes(bench: Workbench) -> DataFrame:
 
 def _batches(candidates: DataFrame) -> Iterator[list[Candidate]]:
     """Distinct query texts, streamed in batches; only texts reach the driver, never results."""
-    distinct = candidates.filter("allowed").select("defect_id", "candidate", "diagnostic_sql").distinct()
+    distinct = candidates.filter("allowed").select(
+        "defect_id", "candidate", screening.statement(F.col("diagnostic_sql")).alias("diagnostic_sql")).distinct()
     rows = iter(distinct.orderBy("defect_id", "candidate").toLocalIterator(prefetchPartitions=True))
     while batch := list(islice(rows, BATCH)):
         yield [Candidate(r.defect_id, r.candidate, r.diagnostic_sql) for r in batch]

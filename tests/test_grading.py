@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from recon.functions import lexer
 from recon.operators import grading, lineage, sampling, scoring, screening, transcripts
 from recon.plans.risk import FIELD_DEPENDENCIES
 
@@ -41,11 +42,41 @@ def test_localisation_ignores_case_and_needs_the_primary_column(spark):
 
 def test_screening(spark):
     texts = ["SELECT 1", " with t as (select 1) select * from t ; ", "", " ", "DELETE FROM t", "SELECT 1; SELECT 2",
-             "select 'zz_top'", "SELECTED"]
+             "select zz_top", "SELECTED", "select ';' -- ; zz_a", "/* zz_ */ Select 'it''s; zz_b' ; ;", "-- only this", "select `zz_c`",
+             "select 'open ; zz_d", "select 1 /* open ; "]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, sql string")
     got = {r.id: r.error for r in screening.screen_candidates(frame).collect()}
     assert got == {0: "", 1: "", 2: screening.EMPTY, 3: screening.EMPTY, 4: screening.NOT_READ, 5: screening.SEVERAL,
-                   6: screening.TRUTH, 7: screening.NOT_READ}
+                   6: screening.TRUTH, 7: screening.NOT_READ, 8: "", 9: "", 10: screening.EMPTY, 11: screening.TRUTH, 12: "", 13: ""}
+
+
+def test_tokens(spark):
+    texts = ["SELECT a.b, 'it''s' || \"N\"\"m\" FROM t -- end", "x=1.5e3 /* c\n */>=.7;`q`", "'a\\'b' 'open", "", None, "été_1 <> 'é'\n"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, sql string")
+    got = {r.id: r.t for r in frame.select("id", lexer.tokens(F.col("sql")).alias("t")).collect()}
+    for i, sql in enumerate(texts):
+        assert "".join(t.token for t in got[i]) == (sql or "")
+        assert all(sql[t.position - 1: t.position - 1 + len(t.token)] == t.token for t in got[i])
+    shown = lambda i: [(t.kind, t.token) for t in got[i] if t.kind != "blank"]
+    assert shown(0) == [("word", "SELECT"), ("word", "a"), ("mark", "."), ("word", "b"), ("mark", ","), ("string", "'it''s'"), ("mark", "|"),
+                        ("mark", "|"), ("name", '"N""m"'), ("word", "FROM"), ("word", "t"), ("comment", "-- end")]
+    assert shown(1) == [("word", "x"), ("mark", "="), ("number", "1.5e3"), ("comment", "/* c\n */"), ("mark", ">"), ("mark", "="),
+                        ("number", ".7"), ("mark", ";"), ("name", "`q`")]
+    assert shown(2) == [("string", "'a\\'b'"), ("string", "'open")] and shown(5)[0] == ("word", "été_1")
+
+
+def test_long_tokens(spark):
+    sql = "select '" + "it''s " * 50_000 + "' /*" + " x" * 50_000 + "*/ from t"
+    frame = spark.createDataFrame([(sql,)], "sql string")
+    row = screening.query_references(screening.screen_candidates(frame).withColumn("s", F.array()), "s").collect()[0]
+    assert row.allowed and row.tables_mentioned == ["t"] and row.columns_mentioned == ["t"]
+
+
+def test_statement(spark):
+    texts = [" -- c\n select 1 ; ; -- d\n ", "select ';'", " ; ", "", None, "select 1; select 2;"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, sql string")
+    got = {r.id: r.s for r in frame.select("id", screening.statement(F.col("sql")).alias("s")).collect()}
+    assert got == {0: "select 1", 1: "select ';'", 2: "", 3: "", 4: "", 5: "select 1; select 2"}
 
 
 def test_sandbox_only_reads_and_tolerates_arithmetic_faults(spark):
