@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from contract.typed import typed
 from recon.functions import compare, exact, text
 from recon.operators import (
-    fanout, lineage, reconcile, sampling, scoring, screening, transcripts,
+    fanout, lineage, panel, reconcile, sampling, scoring, screening, transcripts,
 )
 from recon.plans import attempts, episodes, risk
 from recon.plans.defects import DEFECTS, DEFECTS_BY_ID
@@ -339,6 +339,13 @@ def month_shift(s):
     return s["orders"].select("o_orderkey", month.alias("month"), exact.month_shift(month, by).alias("shifted"))
 
 
+@query(SourceTables)
+def panel_text(s):
+    """All events of a user in the order of time, one line each."""
+    fields = [("event_id", F.col("event_id")), ("event_type", F.col("event_type")), ("value", text.integral_text(F.col("value")))]
+    return panel.panel_text(s["events"], "user_id", ["ts", "event_id"], fields)
+
+
 @query(SourceTables)
 def row_text(s):
     fields = [

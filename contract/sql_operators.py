@@ -147,6 +147,11 @@ SELECT o_orderkey, YEAR(o_orderdate) * 100 + MONTH(o_orderdate) AS month,
        YEAR(moved) * 100 + MONTH(moved) AS shifted
 FROM (SELECT *, date_trunc('month', o_orderdate) + to_months(CAST(o_orderkey % 49 - 24 AS INTEGER)) AS moved
       FROM orders) t"""
+_INTEGRAL = """CASE WHEN value = floor(value) THEN CAST(CAST(value AS DECIMAL(38,0)) AS VARCHAR) ELSE CAST(value AS VARCHAR) END"""
+SQL["panel_text"] = f"""
+SELECT user_id, count(*) AS n_rows, string_agg('event_id=' || event_id || ' | event_type=' || coalesce(event_type, 'None')
+  || ' | value=' || coalesce({_INTEGRAL}, 'None'), chr(10) || '  ' ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS panel
+FROM events GROUP BY user_id"""
 SQL["row_text"] = """
 SELECT event_id,
        'event_id=' || CAST(event_id AS VARCHAR) || ' | user_id=' || CAST(user_id AS VARCHAR) || ' | event_type='
