@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from recon.plans import attempts, episodes, risk
 from recon.plans.defects import DEFECTS, DEFECTS_BY_ID
 from recon.plans.reports import PIPELINES
 from recon.plans.workbench import Workbench, stacked
-from recon.sources import catalog, loaders
+from recon.sources import catalog, loaders, publish
 from recon.sources.tables import SourceTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -477,7 +478,7 @@ def grade_checks(b):
 def parse_responses(b):
     return attempts.parsed(b).select(
         "defect_id", "seed", "kind", "readable", "diagnostic_sql", "claimed_table",
-        text_list("claimed_columns").alias("claimed_columns"), "claimed_transformation", "extraction_request",
+        text_list("claimed_columns").alias("claimed_columns"), "claimed_transformation", "claimed_reason", "extraction_request",
     )
 
 
@@ -622,17 +623,20 @@ def invariant_cross_table(b):
 
 @query(Workbench)
 def invariant_verdict(b):
-    flagged = []
-    for side in ("trap", "clean"):
-        frames = _risk_frames(b, trap=side == "trap")
-        checks = {
-            "leaf": risk.leaf_invariant(frames["t8_final"]),
-            "cross_table": risk.cross_table_invariant(frames["t7_ead_cal"], frames["t2_basilea"]),
-        }
-        flagged += [c.withColumns({"check_name": F.lit(n), "side": F.lit(side)}) for n, c in checks.items()]
-    names = b.spark.createDataFrame([("leaf",), ("cross_table",)], "check_name string")
+    sides = [_risk_frames(b, trap=trap) for trap in (True, False)]
+    checks = {
+        "leaf": [lambda f=f: risk.leaf_invariant(f["t8_final"]) for f in sides],
+        "cross_table": [lambda f=f: risk.cross_table_invariant(f["t7_ead_cal"], f["t2_basilea"]) for f in sides],
+        # A check on a column that the table lacks cannot run.
+        "misnamed": [lambda f=f: f["t8_final"].filter("ECL <> NO_SUCH_FIELD") for f in sides],
+    }
+    flagged, errors = risk.run_checks(checks)
+    names = b.spark.createDataFrame([(n, n not in errors, errors.get(n, "")) for n in checks], "check_name string, valid boolean, error string")
     found = risk.invariant_verdict(stacked(flagged), _risk_planted(b))
-    return names.join(found, "check_name", "left").na.fill(0).na.fill(False)
+    counts = ["trap_rows", "clean_rows"]
+    joined = names.join(found, "check_name", "left").na.fill(False)
+    return joined.select("check_name", "valid", "error", "caught", "false_positive",
+                         *[F.when(F.col("valid"), F.coalesce(c, F.lit(0))).alias(c) for c in counts])
 
 
 @query(Workbench)
@@ -720,12 +724,30 @@ def split_stats(b):
 
 @query(Workbench)
 def planted_drift(b):
+    """Stored episodes of which some were altered, dropped and added since, against recomputed planted keys."""
     path = b.store.path("episodes-jsonl")
     table = episodes.episodes(b)
-    episodes.write_jsonl(table, path)
+    classes = F.broadcast(b.defects.select("defect_id", "class_index"))
+    number = F.col("class_index") * 6 + F.substring("episode_id", -3, 3).cast("int")
+    aged = table.join(classes, "defect_id").withColumn("_n", number).filter(F.pmod("_n", F.lit(11)) != 1)
+    aged = aged.withColumn("planted_pks", F.when(F.pmod("_n", F.lit(7)) == 0, F.reverse(F.transform("planted_pks", lambda k: F.concat(k, F.lit("'")))))
+                           .otherwise(F.col("planted_pks")))
+    more = aged.filter(F.pmod("_n", F.lit(13)) == 2).withColumn("seed", F.col("seed") + 1)
+    episodes.write_jsonl(aged.unionByName(more).select(*table.columns), path)
     stored = episodes.read_jsonl(b, path, table)
-    seen = b.gold_flagged()
-    return episodes.planted_drift(stored, sampling.sample_keys(seen, b.seeds(), "defect_id"))
+    return episodes.planted_drift(stored, sampling.sample_keys(b.gold_flagged(), b.seeds(), "defect_id"))
+
+
+@query(Workbench)
+def metrics_report(b):
+    """The metrics of all attempts, published as JSON behind their checks and read back."""
+    path = b.store.path("metrics-json")
+    metrics = QUERIES["metrics_summary"](b.spark, b.sources.folder)
+    shares = [F.col(m).between(0, 1) for m in (*scoring.METRICS, "walkthrough")]
+    kept = publish.publish(
+        metrics, path, {"has_rows": F.count("*") > 0, "shares_in_range": F.bool_and(reduce(lambda x, y: x & y, shares)),
+                        "every_count_positive": F.min("n") > 0}, "json")
+    return b.spark.read.schema(metrics.schema).json(path).withColumn("published_rows", F.lit(kept["n_rows"]).cast("bigint"))
 
 
 # The survey names the episode query after the table.

@@ -353,6 +353,7 @@ SELECT defect_id, seed, kind, kind <> 'junk' AS readable,
   CASE WHEN kind IN ('junk', 'empty') THEN '' WHEN kind = 'wrong_column' THEN others ELSE columns END
     AS claimed_columns,
   CASE WHEN kind IN ('junk', 'empty') THEN NULL ELSE description END AS claimed_transformation,
+  CASE WHEN kind IN ('junk', 'empty') THEN NULL ELSE 'recomputation disagrees with the report' END AS claimed_reason,
   CASE WHEN kind IN ('junk', 'empty') THEN NULL ELSE
     'SELECT * FROM ' || final_table || ' WHERE CAST(' || pk || ' AS STRING) IS NOT DISTINCT FROM ''' || flagged_pk || '''' END
     AS extraction_request
@@ -549,9 +550,10 @@ SELECT e.ID_CICLO FROM ({_TRAP_WIDE}) e JOIN ({_INPUTS}) b
 WHERE ABS(e.EAD_FUERA - b.CCF * b.OR_DISBLE) > 0.01"""
 SQL["invariant_verdict"] = f"""
 WITH x AS ({SQL['invariant_cross_table']}), l AS ({SQL['invariant_leaf']})
-SELECT 'cross_table' AS check_name, (SELECT COUNT(*) FROM x) AS trap_rows, CAST(0 AS BIGINT) AS clean_rows,
+SELECT 'cross_table' AS check_name, TRUE AS valid, '' AS error, (SELECT COUNT(*) FROM x) AS trap_rows, CAST(0 AS BIGINT) AS clean_rows,
        (SELECT COUNT(*) FROM x JOIN ({_PLANTED_CYCLES}) p ON p.k = x.ID_CICLO) > 0 AS caught, FALSE AS false_positive
-UNION ALL SELECT 'leaf', (SELECT COUNT(*) FROM l), 0, FALSE, FALSE"""
+UNION ALL SELECT 'leaf', TRUE, '', (SELECT COUNT(*) FROM l), 0, FALSE, FALSE
+UNION ALL SELECT 'misnamed', FALSE, 'UNRESOLVED_COLUMN.WITH_SUGGESTION', NULL, NULL, FALSE, FALSE"""
 SQL["suspect_list"] = f"""
 SELECT {_risk_columns(RISK_TABLES['t8_final'])} FROM ({_TRAP_WIDE}) w WHERE is_planted"""
 _EXTRACT = ("ID_CICLO", "ID_CONTRATO", "MES", "EAD_BALANCE", "EAD_FUERA", "EAD_TOTAL", "OR_DISPTO", "OR_DISBLE", "CCF")
@@ -740,10 +742,17 @@ SQL["split_stats"] = f"WITH e AS ({EPISODES}) " + union(
     CAST(ROUND(AVG(CASE WHEN split = 'test' THEN 1 ELSE 0 END), 4) AS DOUBLE) AS test_share FROM e GROUP BY {c}"""
     for c in ("pipeline_id", "defect_kind", "dimension", "defect_id", "schema"))
 SQL["planted_drift"] = f"""
-SELECT defect_id || '_' || lpad(CAST(episode AS VARCHAR), 3, '0') AS episode_id, defect_id, seed,
-  string_agg(flagged_pk, ',' ORDER BY rank) AS stored_pks, string_agg(flagged_pk, ',' ORDER BY rank) AS recomputed_pks,
-  FALSE AS drifted
-FROM ({PLANTED}) p GROUP BY defect_id, episode, seed"""
+WITH planted AS (
+  SELECT defect_id, seed, class_index * 6 + episode AS n, list(flagged_pk ORDER BY rank) AS keys
+  FROM ({PLANTED}) p GROUP BY defect_id, class_index, episode, seed),
+aged AS (SELECT defect_id, seed, n, CASE WHEN n % 7 = 0 THEN list_reverse([k || '''' FOR k IN keys]) ELSE keys END AS keys FROM planted WHERE n % 11 <> 1),
+stored AS (SELECT * FROM aged UNION ALL SELECT defect_id, seed + 1, n, keys FROM aged WHERE n % 13 = 2)
+SELECT defect_id, seed, array_to_string(s.keys, ',') AS stored_pks, array_to_string(p.keys, ',') AS recomputed_pks,
+  CASE WHEN p.keys IS NULL THEN 'dropped' WHEN s.keys IS NULL THEN 'added' WHEN s.keys IS DISTINCT FROM p.keys THEN 'altered' ELSE 'none' END AS drift,
+  s.keys IS DISTINCT FROM p.keys AS drifted
+FROM planted p FULL JOIN stored s USING (defect_id, seed)"""
+
+SQL["metrics_report"] = f"SELECT *, COUNT(*) OVER () AS published_rows FROM ({SQL['metrics_summary']}) m"
 
 
 def oracle_sql() -> dict[str, str]:

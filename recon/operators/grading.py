@@ -34,6 +34,7 @@ def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:
         F.col("_cause.table").alias("claimed_table"),
         F.col("_cause.columns").alias("claimed_columns"),
         F.col("_cause.transformation").alias("claimed_transformation"),
+        F.col("_cause.reason").alias("claimed_reason"),
         F.col("_answer.extraction_request").alias("extraction_request"),
     )
 

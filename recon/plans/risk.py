@@ -5,6 +5,9 @@ A cycle is an order and a contract a customer. Estimates are fixed arithmetic of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,6 +223,23 @@ def key_extraction(t7: DataFrame, t2: DataFrame, suspects: DataFrame) -> DataFra
     )
 
 
+def run_checks(checks: dict[str, tuple[Callable[[], DataFrame], Callable[[], DataFrame]]]) -> tuple[list[DataFrame], dict[str, str]]:
+    """Flagged rows (check_name, side, ID_CICLO) of the checks that can run, and the errors of those that cannot.
+
+    ``checks``: name to what builds the check on the trap and on the clean side. One that the analyser refuses on
+    either side is invalid, and neither of its sides is kept.
+    """
+    flagged, errors = [], {}
+    for name, sides in checks.items():
+        try:
+            found = [build().select("ID_CICLO") for build in sides]
+        except AnalysisException as error:
+            errors[name] = error.getCondition() or type(error).__name__
+            continue
+        flagged += [f.withColumns({"check_name": F.lit(name), "side": F.lit(side)}) for f, side in zip(found, ("trap", "clean"))]
+    return flagged, errors
+
+
 def invariant_verdict(flagged: DataFrame, suspects: DataFrame) -> DataFrame:
     """Per check: caught, false positive and row counts, from (check_name, side, ID_CICLO)."""
     known = suspects.select("ID_CICLO", F.lit(True).alias("_known"))

@@ -38,6 +38,13 @@ def integrity_gate(inventory: DataFrame, min_tables: int = 2) -> DataFrame:
     return totals.withColumn("usable", (F.col("n_tables") >= min_tables) & (F.col("total_rows") > 0))
 
 
+def require_usable(tables: Mapping[str, DataFrame], min_tables: int = 2) -> None:
+    """Fail the job that is about to read a source that the integrity gate refuses."""
+    gate = integrity_gate(table_inventory(tables), min_tables).first()
+    if not gate.usable:
+        raise ValueError(f"unusable source: {gate.n_tables} tables, {gate.total_rows or 0} rows")
+
+
 def catalog_frame(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
     """The schema catalogue as a table."""
     return spark.createDataFrame(
