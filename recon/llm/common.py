@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,8 +54,24 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def release() -> None:
+    """Give memory that finished work has freed back to the system; a Python worker waits for its next task else with all it ever held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 def slices(batches, limit: int = SLICE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the text column of each cut has about ``limit`` bytes, one row at least."""
+    try:
+        yield from _cuts(batches, limit, column)
+    finally:
+        release()
+
+
+def _cuts(batches, limit: int, column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         array = batch.column(column)
         ends = array.cast(pa.large_string()) if pa.types.is_string(array.type) else array

@@ -24,6 +24,8 @@ from recon.llm.words import NOT_ALNUM, Words, mix
 #: Most labelled texts a fit looks at, and most that one task learns from.
 MAX_LABELLED = 16_000
 SHARD_ROWS = 4_000
+#: Bytes of text whose features are held at once; a longer text is a step of its own.
+STEP_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     shards = max(1, round(min(settings.max_labelled, labels.count()) / SHARD_ROWS))
 
     def hashed(batches):
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             who, what = features(part.column("text"), settings.bits)
             once = np.unique(who * (1 << settings.bits) + what)
             owner, what = once >> settings.bits, (once & ((1 << settings.bits) - 1)).astype(np.int32)
@@ -166,7 +168,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def scored(batches):
         model = sent.value
         dense, bits = model.dense(), model.bits
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             total = np.clip(logits(part.column("text"), dense, bits, model.bias), -35, 35)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(1 / (1 + np.exp(-total)))], names=["doc_id", "score"])
@@ -191,7 +193,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, settings: Settings = Settings
     def kept(batches):
         model = sent.value
         dense, bits = model.dense(), model.bits
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             yield part.filter(pa.array(logits(part.column("text"), dense, bits, model.bias) < 0))
 
     return docs.select(*fields).mapInArrow(kept, docs.schema)
