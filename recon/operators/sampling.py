@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,19 +42,57 @@ def seed_grid(
 
 
 def sample_keys(flagged: DataFrame, seeds: DataFrame, group: str, k: int = PLANTED) -> DataFrame:
-    """The first ``k`` flagged keys per (group, seed) in stable order.
+    """The first ``k`` flagged keys per (group, seed) in stable order: (group, seed, rank, flagged_pk).
 
-    Every flagged key is ordered once for each seed of its group, so the work is keys times seeds of
-    a group. The rank filter is pushed below the shuffle: at most ``k`` rows per group leave each task.
+    A bounded bottom-k aggregate: one pass over the keys, in which every task holds for each (group, seed) the ``k``
+    smallest (digest, key) it has met and emits them at its end; the tasks' buffers are then merged, at most ``k``
+    rows a task, group and seed. No row of keys times seeds is made. ``seeds`` are parameters, of a size that does
+    not grow with the data, and travel with the function. Keys are text; a repeated key takes a place for each of
+    its rows, a null key has a place of its own in the order, groups without seeds or keys give no row.
     """
-    per_seed = flagged.join(seeds.select(group, "seed"), group).withColumn(
-        "_order", stable_order(F.col("seed"), F.col("flagged_pk"))
-    )
+    of: dict[object, list[int]] = {}
+    for row in seeds.select(group, "seed").distinct().collect():  # the grid of parameters
+        of.setdefault(row[group], []).append(row["seed"])
+    kind = dict(flagged.dtypes)[group]
+    held = flagged.select(group, F.col("flagged_pk").cast("string")).mapInArrow(
+        _smallest(of, k, group), f"`{group}` {kind}, seed bigint, _order string, flagged_pk string")
     window = Window.partitionBy(group, "seed").orderBy("_order", "flagged_pk")
-    ranked = per_seed.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    ranked = held.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
     return ranked.select(group, "seed", "rank", "flagged_pk")
 
 
+def _smallest(
+    of: dict[object, list[int]], k: int, group: str
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's ``k`` smallest (digest, key) by group and seed, the digest being that of ``stable_order``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffers: dict[tuple[object, int], list[tuple[str, str | None]]] = {}
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            met: dict[object, list[str | None]] = {}
+            for name, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                met.setdefault(name, []).append(key)
+            for name, keys in met.items():
+                for seed in of.get(name, ()):
+                    found = chain(buffers.get((name, seed), ()), ((_digest(seed, key), key) for key in keys))
+                    buffers[name, seed] = heapq.nsmallest(k, found, key=lambda p: (p[0], p[1] is not None, p[1] or ""))
+        rows = [(name, seed, order, key) for (name, seed), buffer in buffers.items() for order, key in buffer]
+        if rows:
+            names, numbers, orders, keys = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, kind), pa.array(numbers, pa.int64()), pa.array(orders, pa.string()), pa.array(keys, pa.string())],
+                names=[group, "seed", "_order", "flagged_pk"])
+
+    return run
+
+
+def _digest(seed: int, key: str | None) -> str:
+    text = str(seed) if key is None else f"{seed}:{key}"
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def numbered(rows: DataFrame, group: str, seed: str, key: str) -> DataFrame:
     """``rows`` with ``number``, counting from 0 without gaps within the group in stable order.
 

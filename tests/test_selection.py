@@ -42,3 +42,23 @@ def test_split_by_selection(spark, monkeypatch, small, digits):
 def test_split_of_nothing(spark):
     frame = spark.createDataFrame([], "class string, seed long, key string")
     assert sampling.split_by_order(frame, "class", "seed", "key").count() == 0
+
+
+def test_sample_is_the_first_keys_in_stable_order(spark):
+    """Against sorting every (group, seed): hot groups, repeated and null keys, few keys, no seeds, no keys."""
+    pick = random.Random(9)
+    rows = [("hot", f"h{pick.randint(0, 4000)}") for _ in range(30_000)] + [("same", "x")] * 5_000
+    rows += [("nulls", None), ("nulls", None), ("nulls", "a"), ("few", "ü"), ("unasked", "z")]
+    grid = [(g, s) for g in ("hot", "same", "nulls", "few", "no keys") for s in (1, 22, 333)] + [("hot", 1)]
+    frame = spark.createDataFrame(rows, "class string, flagged_pk string").withColumn("seed", F.lit("clash")).repartition(16)
+    seeds = spark.createDataFrame(grid, "class string, seed long")
+    want = []
+    for group, seed in set(grid):
+        own = sorted((hashlib.md5(":".join(str(x) for x in (seed, k) if x is not None).encode()).hexdigest(), k is not None, k or "")
+                     for g, k in rows if g == group)
+        want += [(group, seed, i, k if known else None) for i, (_, known, k) in enumerate(own[:3], start=1)]
+    plan = sampling.sample_keys(frame, seeds, "class")
+    assert sorted(map(tuple, plan.collect()), key=str) == sorted(want, key=str)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sampling.sample_keys(frame.limit(0), seeds, "class").count() == 0
+    assert sampling.sample_keys(frame, seeds.limit(0), "class").count() == 0
