@@ -89,12 +89,24 @@ class Sandbox:
         for name, frame in frames.items():
             frame.createOrReplaceTempView(name)
 
+    def plan(self, sql: str) -> DataFrame:
+        """The query with its output columns named by position, as they may share a name; refused ones raise."""
+        frame = self.session.sql(f"SELECT * FROM (\n{sql}\n) candidate")
+        return frame.toDF(*[f"c{i}" for i in range(len(frame.columns))])
+
     def run(self, sql: str) -> DataFrame:
         """The first output column as text; a query the analyser refuses raises."""
-        frame = self.session.sql(f"SELECT * FROM (\n{sql}\n) candidate")
-        # By position, as output columns may share a name.
-        named = frame.toDF(*[f"c{i}" for i in range(len(frame.columns))])
-        return named.select(F.col("c0").cast("string").alias("pk"))
+        return first_column(self.plan(sql))
+
+
+def first_column(planned: DataFrame) -> DataFrame:
+    return planned.select(F.col("c0").cast("string").alias("pk"))
+
+
+def row_count(planned: DataFrame) -> DataFrame:
+    """How many rows a query gives. Every column of every row is computed, so that a fault in any shows."""
+    whole = F.length(F.struct(*planned.columns).cast("string")).cast("bigint")
+    return planned.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(whole), F.lit(0)).alias("n_chars"))
 
 
 def run_candidates(

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from itertools import islice
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recon.functions.text import sql_literal
 from recon.operators import grading, scoring, screening
-from recon.operators.grading import Candidate, Sandbox
+from recon.operators.grading import Sandbox
+from recon.plans import runs
 from recon.plans.defects import DEFECTS_BY_ID
 from recon.plans.reports import PIPELINES
 from recon.plans.workbench import Workbench, stacked
@@ -19,7 +16,6 @@ from recon.plans.workbench import Workbench, stacked
 KINDS = ("gold", "junk", "empty", "broad", "wrong_table", "wrong_column")
 # Which layer walk an attempt of each kind carries.
 WALK_OF = {"gold": "gold", "wrong_table": "short", "wrong_column": "reversed"}
-BATCH = 64
 
 
 def responses(bench: Workbench) -> DataFrame:
@@ -95,15 +91,6 @@ def probes(bench: Workbench) -> DataFrame:
     return screening.screen_candidates(exploded, "diagnostic_sql")
 
 
-def _batches(candidates: DataFrame) -> Iterator[list[Candidate]]:
-    """Distinct query texts, streamed in batches; only texts reach the driver, never results."""
-    distinct = candidates.filter("allowed").select(
-        "defect_id", "candidate", screening.statement(F.col("diagnostic_sql")).alias("diagnostic_sql")).distinct()
-    rows = iter(distinct.orderBy("defect_id", "candidate").toLocalIterator(prefetchPartitions=True))
-    while batch := list(islice(rows, BATCH)):
-        yield [Candidate(r.defect_id, r.candidate, r.diagnostic_sql) for r in batch]
-
-
 class _Sides:
     """The trap and the clean catalogue, switched from defect to defect."""
 
@@ -135,49 +122,67 @@ class _Sides:
 
 
 def verdicts(bench: Workbench, candidates: DataFrame, name: str) -> DataFrame:
-    """Run every allowed candidate on both sides and grade it against the planted keys."""
+    """Grade every candidate against the planted keys, running each distinct plan once on both sides.
+
+    Candidates that may not run are graded like one run whose outcome is the rule they break.
+    """
     bench.write_reports()
-    spark, sides = bench.spark, _Sides(bench)
-    hits, outcomes = [], []
-    for number, batch in enumerate(_batches(candidates)):
-        plans: list[tuple[int, DataFrame]] = []
-        for defect_id in dict.fromkeys(c.group for c in batch):
-            mine = [c for c in batch if c.group == defect_id]
-            for side in ("trap", "clean"):
-                found, outcome = grading.run_candidates(spark, sides.open(side, defect_id), side, mine)
-                plans += [(len(outcomes) + i, plan) for i, plan in enumerate(found) if plan is not None]
-                outcomes += outcome
-        if plans:
-            # A name of its own for every attempt: other candidates must not find these hits.
-            done, errors = grading.executed(
-                plans, lambda frames: bench.store.table(f"hits_{name}_{number}_{uuid.uuid4().hex}", lambda: stacked(frames))
-            )
-            hits += done
-            for i, error in errors.items():
-                outcomes[i] = (*outcomes[i][:3], error)
-    empty = "defect_id string, candidate string, side string, pk string"
-    ran = spark.createDataFrame(outcomes, grading.OUTCOME_TYPE)
-    refused = candidates.filter("NOT allowed").select("defect_id", "candidate", "error").distinct()
-    refused = stacked([refused.withColumn("side", F.lit(side)) for side in ("trap", "clean")])
-    all_hits = stacked(hits) if hits else spark.createDataFrame([], empty)
-    return grading.grade_checks(all_hits, ran.unionByName(refused), bench.planted())
+    named = runs.named_texts(candidates, "diagnostic_sql")
+    texts = named.filter("allowed").select("defect_id", "text_id", "sql")
+    ran = runs.PlanRuns(bench, _Sides(bench).open, name).execute(texts, grading.first_column, "pk string")
+    refused = named.filter("NOT allowed").select("defect_id", F.col("error").alias("candidate"), "error").distinct()
+    outcomes = stacked([ran.outcomes(), *[refused.withColumn("side", F.lit(side)) for side in runs.SIDES]])
+    hits = ran.results("defect_id string, candidate string, side string, pk string")
+    graded_runs = grading.grade_checks(hits, outcomes, bench.planted()).withColumnRenamed("candidate", "run")
+    mapped = named.select("defect_id", "candidate", "text_id", "allowed", "error").distinct().withColumnRenamed("error", "_rule")
+    mapped = mapped.join(ran.mapping(), ["defect_id", "text_id"], "left").withColumn("run", F.when(F.col("allowed"), F.col("run")).otherwise(F.col("_rule")))
+    return mapped.select("defect_id", "candidate", "run").join(graded_runs, ["defect_id", "run"]).drop("run")
+
+
+EXTRACTION_TYPE = "defect_id string, candidate string, side string, n_rows bigint, n_chars bigint"
 
 
 def extraction_runs(bench: Workbench, read: DataFrame) -> DataFrame:
-    """Whether the extraction request is present and accepted: one row per distinct request."""
-    asked = read.filter(F.coalesce(F.trim("extraction_request"), F.lit("")) != "").select(
-        "defect_id", "extraction_request"
-    ).distinct()
-    sides, rows = _Sides(bench), []
-    for r in asked.orderBy("defect_id", "extraction_request").toLocalIterator():
-        sandbox = sides.open("trap", r.defect_id)
-        _, outcome = grading.run_candidates(
-            bench.spark, sandbox, "trap", [Candidate(r.defect_id, "extraction", r.extraction_request)]
-        )
-        rows.append((r.defect_id, r.extraction_request, outcome[0][3] == ""))
-    return bench.spark.createDataFrame(
-        rows, "defect_id string, extraction_request string, extraction_useful boolean"
-    )
+    """Every distinct extraction request, executed on the trap: its rows, its error and whether it is useful.
+
+    A request is useful when it may run and every row it asks for can be computed, be they none. Requests are
+    screened like diagnostic queries, and those of one plan run once. (defect_id, extraction_request,
+    extraction_rows, extraction_error, extraction_useful); blank requests are left out.
+    """
+    bench.write_reports()
+    asked = read.filter(F.coalesce(F.trim("extraction_request"), F.lit("")) != "").select("defect_id", "extraction_request").distinct()
+    named = runs.named_texts(screening.screen_candidates(asked, "extraction_request"), "extraction_request")
+    texts = named.filter("allowed").select("defect_id", "text_id", "sql")
+    ran = runs.PlanRuns(bench, _Sides(bench).open, "extraction", ("trap",)).execute(texts, grading.row_count, "n_rows bigint, n_chars bigint")
+    outcomes = ran.outcomes().select("defect_id", F.col("candidate").alias("run"), F.col("error").alias("_error"))
+    counts = ran.results(EXTRACTION_TYPE).select("defect_id", F.col("candidate").alias("run"), F.col("n_rows").alias("extraction_rows"))
+    of_run = ran.mapping().join(outcomes, ["defect_id", "run"]).join(counts, ["defect_id", "run"], "left").drop("run")
+    error = F.when(F.col("allowed"), F.col("_error")).otherwise(F.col("error"))
+    return named.join(of_run, ["defect_id", "text_id"], "left").select(
+        "defect_id", "extraction_request", "extraction_rows", error.alias("extraction_error"), (error == "").alias("extraction_useful"))
+
+
+def extraction_probes(bench: Workbench) -> DataFrame:
+    """Requests of every kind a response may carry: (defect_id, seed, variant, extraction_request)."""
+    asked = parsed(bench).filter("kind = 'gold'").select("defect_id", "seed", "extraction_request")
+    asked = asked.join(F.broadcast(bench.defects.select("defect_id", "class_index", "final_table")), "defect_id")
+    request, final = F.col("extraction_request"), F.col("final_table")
+    texts = {
+        "plain": request,
+        "respelled": F.concat(F.lit("/* the row */ "), F.replace(F.replace(request, F.lit("SELECT"), F.lit("select")), F.lit(" WHERE "), F.lit("\n where\t")), F.lit(" ; -- done")),
+        "whole": F.concat(F.lit("SELECT * FROM "), final),
+        "unknown column": F.concat(F.lit("SELECT no_such_column FROM "), final),
+        "write": F.concat(F.lit("DROP TABLE "), final),
+        # Runs into its fault only when it is executed.
+        "fault": F.when(F.col("class_index") == 0, F.concat(F.lit("SELECT raise_error('broken') FROM "), final)),
+    }
+    cells = F.array(*[F.struct(F.lit(n).alias("variant"), t.alias("extraction_request")) for n, t in texts.items()])
+    return asked.select("defect_id", "seed", F.explode(cells).alias("cell")).select("defect_id", "seed", "cell.*").dropna(subset=["extraction_request"])
+
+
+def extractions(bench: Workbench) -> DataFrame:
+    """The extraction requests of all responses, each executed once; written once."""
+    return bench.store.table("extractions", lambda: extraction_runs(bench, parsed(bench)))
 
 
 def graded(bench: Workbench) -> DataFrame:
@@ -186,7 +191,7 @@ def graded(bench: Workbench) -> DataFrame:
     def build() -> DataFrame:
         read = parsed(bench)
         checks = verdicts(bench, read, "responses").drop("error")
-        useful = extraction_runs(bench, read)
+        useful = extractions(bench).select("defect_id", "extraction_request", "extraction_useful")
         truth = bench.defects.select(
             "defect_id", "pipeline_id", "kind", "final_table", "defect_columns"
         ).withColumnRenamed("kind", "defect_kind")
