@@ -498,6 +498,16 @@ def grade_response(b):
     )
 
 
+@query(Workbench)
+def extraction_requests(b):
+    """Requests of several kinds, executed: rows and error of each."""
+    asked = attempts.extraction_probes(b)
+    ran = b.store.table("extraction_probes", lambda: attempts.extraction_runs(b, asked))
+    error = F.when(F.col("extraction_error").startswith("UNRESOLVED_COLUMN"), "unknown column").otherwise(F.col("extraction_error"))
+    return asked.join(ran, ["defect_id", "extraction_request"]).select(
+        "defect_id", "seed", "variant", "extraction_rows", error.alias("extraction_error"), "extraction_useful")
+
+
 @query(Workbench)
 def reward(b):
     return attempts.graded(b).select("defect_id", "seed", "kind", "valid_output", "bonus", "reward")
@@ -712,6 +722,12 @@ def episode_table(b):
         "schema", "episode_id", "pipeline_id", "defect_id", "defect_kind", "dimension", "category",
         "severity", "split", "seed", text_list("planted_pks").alias("planted_pks"), "suspect_pk",
         "is_missing", "user", "reward",
+        F.array_join(F.transform("walk", lambda w: F.concat(
+            w["position"].cast("string"), F.lit(" "), w["layer"], F.lit(" "), w["table_name"], F.lit(" "), F.coalesce(w["evidence_pk"], F.lit("-")),
+            F.lit(": "), F.coalesce(w["evidence"], F.lit("-")))), "\n").alias("walk"),
+        F.array_join(F.transform("hypotheses", lambda h: F.concat(
+            h["table"], F.lit("."), F.array_join(h["columns"], ","), F.lit(": "), h["claim"])), "\n").alias("hypotheses"),
+        F.to_json("verdict").alias("verdict"),
     )
 
 

@@ -400,6 +400,18 @@ SELECT defect_id, seed, kind, valid, catch, fp, precise, loc, success,
   CAST(n_caught AS BIGINT) AS n_caught, CAST(n_clean AS BIGINT) AS n_clean,
   kind NOT IN ('junk', 'empty') AS extraction_useful
 FROM ({GRADED}) g"""
+_REQUESTS = _values([(i, v) for i, v in enumerate(("plain", "respelled", "whole", "unknown column", "write", "fault"))], "i, variant")
+SQL["extraction_requests"] = f"""
+WITH trap_keys AS ({_TRAP_KEYS}), n_trap AS ({_COUNT_TRAP}),
+one AS (SELECT s.defect_id, s.seed, s.class_index, COUNT(k.pk) AS n FROM ({SUSPECTS}) s
+        LEFT JOIN trap_keys k ON k.defect_id = s.defect_id AND k.pk = s.flagged_pk GROUP BY 1, 2, 3)
+SELECT o.defect_id, o.seed, v.variant,
+  CASE WHEN variant IN ('plain', 'respelled') THEN o.n WHEN variant = 'whole' THEN CAST(t.n AS BIGINT) END AS extraction_rows,
+  CASE variant WHEN 'unknown column' THEN 'unknown column' WHEN 'write' THEN 'only SELECT/WITH statements are allowed'
+       WHEN 'fault' THEN 'USER_RAISED_EXCEPTION' ELSE '' END AS extraction_error,
+  variant IN ('plain', 'respelled', 'whole') AS extraction_useful
+FROM one o JOIN n_trap t USING (defect_id) CROSS JOIN ({_REQUESTS}) v
+WHERE variant <> 'fault' OR o.class_index = 0"""
 SQL["reward"] = f"""
 SELECT defect_id, seed, kind, valid AS valid_output, CAST(0 AS DOUBLE) AS bonus, CAST(reward AS DOUBLE) AS reward
 FROM ({GRADED}) g"""
@@ -736,7 +748,20 @@ SELECT {lit(episodes.SCHEMA_VERSION)} AS schema,
 FROM planted p JOIN keys k USING (defect_id, seed) JOIN rows w USING (defect_id, seed)
 JOIN dim d USING (defect_id) JOIN contexts c USING (defect_id)
 WHERE p.rank = 1"""
-SQL["episodes"] = EPISODES
+# A gold answer passes every rule, so only its counts and its steps differ from episode to episode.
+SQL["episodes"] = f"""
+WITH steps AS ({SQL['layer_walk']}), verdicts AS ({VERDICTS}), dim AS ({_DIM}), e AS ({EPISODES}),
+walks AS (SELECT defect_id, seed, COUNT(*) AS n, string_agg(
+    position || ' ' || layer || ' ' || table_name || ' ' || CASE WHEN position = 0 THEN suspect_pk ELSE '-' END || ': '
+    || COALESCE(evidence, '-'), chr(10) ORDER BY position) AS walk FROM steps GROUP BY 1, 2)
+SELECT e.*, w.walk,
+  d.final_table || '.' || string_split(d.columns, ',')[1] || ': ' || string_split(d.columns, ',')[1]
+    || ' does not follow from the joins upstream' AS hypotheses,
+  '{{"response":{{"valid":true,"catch":true,"fp":false,"precise":true,"loc":true,"success":true,"n_caught":' || v.n_caught
+    || ',"n_clean":0}},"walkthrough":{{"score":1.0,"n_steps":' || w.n || ',"ran":' || w.n
+    || ',"final_ok":true,"layers_ok":true}}}}' AS verdict
+FROM e JOIN walks w USING (defect_id, seed) JOIN dim d USING (defect_id)
+JOIN verdicts v ON v.defect_id = e.defect_id AND v.seed = e.seed AND v.candidate = 'gold'"""
 SQL["split_stats"] = f"WITH e AS ({EPISODES}) " + union(
     f"""SELECT '{c}' AS dimension, {c} AS value, COUNT(*) AS n, COUNT(*) FILTER (WHERE split = 'test') AS n_test,
     CAST(ROUND(AVG(CASE WHEN split = 'test' THEN 1 ELSE 0 END), 4) AS DOUBLE) AS test_share FROM e GROUP BY {c}"""

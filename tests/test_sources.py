@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import gzip
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 from __spark_entry__ import entry, oracle_sql, queries
 from contract import operator_queries
 from recon.functions.exact import month_shift
-from recon.plans.episodes import schema_text
+from recon.plans.episodes import episodes, read_jsonl, schema_text, write_jsonl
 from recon.plans.workbench import Workbench
 from recon.sources import catalog, loaders
 from recon.sources.tables import SourceTables
@@ -70,7 +71,7 @@ LIGHT = (
     "part_margin", "diff_ZT02", "gold_SK03", "load_csv_checked", "load_tsv_nulls", "tolerance_predicate",
     "fanout_profile", "screen_candidates", "query_references", "score_transcripts", "risk_columns",
     "lineage_closure", "month_shift", "key_extraction", "episodes", "split_stats", "planted_drift",
-    "parse_responses",
+    "parse_responses", "extraction_requests",
 )
 
 
@@ -94,3 +95,20 @@ def test_every_table_is_copied_whole(spark, folder):
 def test_copies_agree_with_sql(spark, folder, name):
     got = queries()[name](spark, folder).toPandas()
     assert compare(got, open_duckdb(folder).execute(oracle_sql()[name]).df()) == ""
+
+
+def test_episodes_carry_their_evidence(spark, folder, tmp_path):
+    bench = Workbench(spark, folder)
+    table = episodes(bench)
+    rows = table.collect()
+    assert rows
+    scores = {(r.defect_id, r.seed): r for r in bench.walk_scores().filter("variant = 'gold'").collect()}
+    for r in rows:
+        assert [s.position for s in r.walk] == list(range(len(r.walk))) and r.walk[0].evidence_pk == r.suspect_pk
+        assert r.gold.walkthrough.steps == r.walk and r.gold.hypotheses == r.hypotheses
+        assert r.hypotheses[0].columns == r.gold.root_cause.columns[:1]
+        assert r.verdict.walkthrough.n_steps == scores[r.defect_id, r.seed].n_steps == len(r.walk)
+        assert r.verdict.response.success and r.verdict.walkthrough.score == 1.0
+        assert json.loads(r.assistant)["walkthrough"]["steps"][0]["evidence"] == r.walk[0].evidence
+    write_jsonl(table, str(tmp_path / "out"))
+    assert sorted(read_jsonl(bench, str(tmp_path / "out"), table).collect(), key=lambda r: r.episode_id) == sorted(rows, key=lambda r: r.episode_id)
