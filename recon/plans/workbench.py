@@ -87,16 +87,16 @@ class Workbench:
         pipeline = PIPELINES[defect.pipeline_id]
         return self.store.table(f"trap_{defect_id}", lambda: defect.trap(pipeline, self.staged()))
 
-    def write_reports(self) -> None:
-        """Write all reports and traps, several jobs at a time."""
+    def write_reports(self, with_clean: bool = True) -> None:
+        """Write all traps and, unless told otherwise, all reports, several jobs at a time."""
         self.staged()
-        builds: list[Callable[[], DataFrame]] = [lambda p=p: self.clean(p) for p in PIPELINES]
+        builds: list[Callable[[], DataFrame]] = [lambda p=p: self.clean(p) for p in PIPELINES if with_clean]
         builds += [lambda d=d: self.trap(d.defect_id) for d in DEFECTS]
         with ThreadPoolExecutor(CONCURRENT_WRITES) as pool:
             list(pool.map(lambda build: build(), builds))
 
-    def per_defect(self, build: Callable[[Defect, Pipeline], DataFrame]) -> DataFrame:
-        self.write_reports()
+    def per_defect(self, build: Callable[[Defect, Pipeline], DataFrame], with_clean: bool = True) -> DataFrame:
+        self.write_reports(with_clean)
         return stacked(
             [
                 build(d, PIPELINES[d.pipeline_id]).withColumn("defect_id", F.lit(d.defect_id))
@@ -127,7 +127,7 @@ class Workbench:
                 staging[p.pipeline_id] = p.staging(self.staged())
             return d.gold(p, self.trap(d.defect_id), staging[p.pipeline_id])
 
-        return self.store.table("gold_flagged", lambda: self.per_defect(one))
+        return self.store.table("gold_flagged", lambda: self.per_defect(one, with_clean=False))
 
     def seeds(self) -> DataFrame:
         classes = self.defects.select("defect_id", "class_index")
