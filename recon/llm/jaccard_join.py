@@ -5,12 +5,16 @@ Relations between sets save most of the work, at three steps.
 * Equal sets have equal answers: one row stands for them all.
 * Index lists. A set is indexed under the first shingles of an order that puts frequent ones last,
   enough that a linked set must share NEEDED of them. A list is cut into blocks of size; a block whose
-  sizes leave too little room for the overlap is skipped whole. Positions in the sets are looked at pair by
-  pair, after the join of a list's neighbouring blocks has made the pairs.
+  sizes leave too little room for the overlap is skipped whole. Positions and sketches of two entries are
+  compared within the join of a list's neighbouring blocks, which passes on only pairs that may be linked.
 * Answers of a similar set. Neighbours in a list that turn out to be linked form clusters. From then on
   a cluster is one entry of a list, and its first set, the pivot, answers for it: distances of sets are a
   metric, so two clusters whose pivots lie farther apart than the limit and both radii together have
   no link, and two whose pivots are linked need no other. Only what lies between is looked at set by set.
+* Sketches. A set's sketch has, for each of SKETCH_BITS places, the parity of the shingles hashed to it. Two
+  sketches differ in at most as many places as their sets have shingles apart, so they bound the distance
+  from below and drop no link. They tell 0.72 from 0.85 up to about a thousand shingles; larger sets fill the
+  places, and pairs of them pass on to be counted.
 
 Frequencies come from counters of a fixed number that cover all texts; they choose the order alone, and
 any order gives the same links. Sets are known by a 64-bit digest, shingles by a 64-bit hash.
@@ -39,6 +43,7 @@ COUNTER_BITS = 18
 BROADCAST_IDS = 1_000_000
 #: Sets a task remembers, so as to index copies once; others are told apart after the shuffle.
 SEEN_SETS = 500_000
+SKETCH_BITS = 512
 
 
 def shingle_sets(array: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +84,24 @@ def digests(owner: np.ndarray, mark: np.ndarray, rows: int) -> np.ndarray:
     return mix(mix(out[0]) * np.uint64(3) + out[1]).view(np.int64)
 
 
+def sketches(owner: np.ndarray, mark: np.ndarray, rows: int) -> pa.Array:
+    """SKETCH_BITS parities a set, as a list of 64-bit numbers."""
+    place = owner * SKETCH_BITS + (mix(mark * np.uint64(0x9E6C63D0876A9A47)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    place, times = np.unique(place, return_counts=True)
+    odd = np.zeros(rows * SKETCH_BITS, bool)
+    odd[place[times % 2 == 1]] = True
+    words = SKETCH_BITS // 64
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * words), pa.array(np.packbits(odd).view(np.int64)))
+
+
+def _least_distance(a: str, b: str) -> Column:
+    """A lower bound of the distance of the sets whose size and sketch are ``a_size``, ``a_sketch``, ``b_size``, ``b_sketch``."""
+    apart = sum((F.bit_count(F.col(f"{a}_sketch")[i].bitwiseXOR(F.col(f"{b}_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return 2 * apart / (F.col(f"{a}_size") + F.col(f"{b}_size") + apart)
+
+
 def _surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, key) of every row, and (counter, n) of the frequencies, told apart by ``kind``."""
+    """(doc_id, n, key, sketch) of every row, and (counter, n) of the frequencies, told apart by ``kind``."""
 
     def survey(batches):
         counters = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -90,12 +111,14 @@ def _surveyed(docs: DataFrame, width: int) -> DataFrame:
             n = np.bincount(owner, minlength=part.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(part.num_rows, np.int32)), part.column("doc_id"), pa.array(n),
-                 pa.array(digests(owner, mark, part.num_rows))], names=["kind", "doc_id", "n", "key"])
+                 pa.array(digests(owner, mark, part.num_rows)), sketches(owner, mark, part.num_rows)], names=names)
         at = np.flatnonzero(counters)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(counters[at]),
-                                          pa.array(np.zeros(len(at), np.int64))], names=["kind", "doc_id", "n", "key"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(counters[at]), pa.array(np.zeros(len(at), np.int64)),
+             pa.nulls(len(at), pa.list_(pa.int64()))], names=names)
 
-    return texts(docs).mapInArrow(survey, "kind int, doc_id bigint, n bigint, key bigint")
+    names = ["kind", "doc_id", "n", "key", "sketch"]
+    return texts(docs).mapInArrow(survey, "kind int, doc_id bigint, n bigint, key bigint, sketch array<bigint>")
 
 
 def _least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
@@ -188,7 +211,8 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
     frequency = np.zeros(1 << COUNTER_BITS, np.int64)  # a fixed number of counters
     for r in survey.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).collect():
         frequency[r.doc_id] = r.n
-    classes = written(rows.where("doc_id IS NOT NULL AND n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    classes = written(survey.where("kind = 0 AND doc_id IS NOT NULL AND n > 0").groupBy("key").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("size"), F.first("sketch").alias("sketch")))  # alike for one key
     index = written(_index(docs, frequency, width, percent))
     is_link = F.col("shared") * 100 >= F.col("either") * percent
 
@@ -207,20 +231,29 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
                   .select(F.col("a").alias("cluster"), F.col("b").alias("key"), (1 - F.col("shared") / F.col("either")).alias("off")))
     radius = written(off.groupBy("cluster").agg(F.max("off").alias("radius")))
 
-    # Lists of clusters: pairs that share as many first shingles as a link needs.
-    labelled = written(index.join(clusters.withColumnRenamed("node", "key"), "key", "left")
-                       .select("token", "key", "n", "at", F.coalesce("label", "key").alias("cluster")))
+    # Lists of clusters: pairs that share as many first shingles as a link needs, and whose pivots may be near enough.
+    limit = 1 - percent / 100 + 1e-9
+    labelled = (index.join(clusters.withColumnRenamed("node", "key"), "key", "left")
+                .select("token", "key", "n", "at", F.coalesce("label", "key").alias("cluster")).repartition("token"))
     block = F.floor(F.log("n") / -math.log(percent / 100) + 1e-9).cast("int")
+    list_ = Window.partitionBy("token")
     entry = (labelled.groupBy("token", "cluster", block.alias("block"))
-             .agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("at").alias("p0"), F.max("at").alias("p1")))
-    left = entry.select("token", "block", F.col("cluster").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("n0", "n1", "p0", "p1")])
+             .agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("at").alias("p0"), F.max("at").alias("p1"))
+             .withColumn("first", F.min("cluster").over(list_)).withColumn("last", F.max("cluster").over(list_))
+             .where("first <> last").drop("first", "last"))
+    pivot = written(classes.select(F.col("key").alias("cluster"), "size", "sketch").join(radius, "cluster", "left")
+                    .select("cluster", "size", "sketch", F.coalesce("radius", F.lit(0.0)).alias("radius")))
+    entry = written(entry.join(pivot, "cluster"))
+    facts = ("n0", "n1", "p0", "p1", "size", "sketch", "radius")
+    left = entry.select("token", "block", F.col("cluster").alias("a"), *[F.col(c).alias(f"a_{c}") for c in facts])
     right = entry.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"),
-                         F.col("cluster").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("n0", "n1", "p0", "p1")])
+                         F.col("cluster").alias("b"), *[F.col(c).alias(f"b_{c}") for c in facts])
     least = F.ceil((F.col("a_n0") + F.col("b_n0")) * F.lit(percent / (100 + percent)) - 1e-6)
     # Shared before and after this shingle, at most.
     most = F.least("a_p1", "b_p1") + 1 + F.least(F.col("a_n1") - F.col("a_p0"), F.col("b_n1") - F.col("b_p0")) - 1
     sizes = (F.col("a_n1") * 100 >= F.col("b_n0") * percent) & (F.col("b_n1") * 100 >= F.col("a_n0") * percent)
-    shared = (left.join(right, ["token", "block"]).where((F.col("a") < F.col("b")) & sizes & (most >= least))
+    near_enough = _least_distance("a", "b") <= limit + F.col("a_radius") + F.col("b_radius")
+    shared = (left.join(right, ["token", "block"]).where((F.col("a") < F.col("b")) & sizes & (most >= least) & near_enough)
               .groupBy("a", "b", "token").agg(*[F.min(c).alias(c) for c in ("a_n0", "b_n0")], *[F.max(c).alias(c) for c in ("a_n1", "b_n1")]))
     across = (shared.groupBy("a", "b").agg(F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("a_n0", "b_n0")],
                                            *[F.max(c).alias(c) for c in ("a_n1", "b_n1")])
@@ -233,7 +266,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
     reach = (pivots.where(~is_link).select("a", "b", far.alias("far"))
              .join(radius.select(F.col("cluster").alias("a"), F.col("radius").alias("ra")), "a", "left")
              .join(radius.select(F.col("cluster").alias("b"), F.col("radius").alias("rb")), "b", "left")
-             .where(F.col("far") <= 1 - percent / 100 + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + 1e-9))
+             .where(F.col("far") <= limit + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))))
     open_ = written(reach.where("ra IS NOT NULL OR rb IS NOT NULL").select("a", "b", "far"))
     joined = written(found.unionByName(near.select("a", "b")))
     if open_.limit(1).count():
@@ -242,18 +275,21 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
         own = open_.join(now.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(
             now.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left").where(
             "la IS NULL OR lb IS NULL OR la <> lb").select("a", "b", "far")
-        # Of two members only those can be linked that are far enough off their pivots, towards each other.
-        inside = off.unionByName(clusters.where("node = label").select(
-            F.col("label").alias("cluster"), F.col("node").alias("key"), F.lit(0.0).alias("off")))
-        x = inside.select(F.col("cluster").alias("a"), F.col("key").alias("ka"), F.col("off").alias("oa"))
-        y = inside.select(F.col("cluster").alias("b"), F.col("key").alias("kb"), F.col("off").alias("ob"))
-        limit = 1 - percent / 100 + 1e-9
-        most = radius.select(F.col("cluster").alias("b"), "radius")
-        reaching = (own.join(most, "b", "left").join(x, "a", "left")
-                    .where(F.coalesce("oa", F.lit(0.0)) + F.coalesce("radius", F.lit(0.0)) >= F.col("far") - limit))
-        members = (reaching.join(y, "b", "left")
-                   .where(F.coalesce("oa", F.lit(0.0)) + F.coalesce("ob", F.lit(0.0)) >= F.col("far") - limit)
-                   .select(F.coalesce("ka", "a").alias("a"), F.coalesce("kb", "b").alias("b")).distinct())
+        # Of two members only those can be linked that are far enough off their pivots, towards each other, and whose
+        # sketches leave it open: first each member of a against the pivot of b, then against the members of b.
+        inside = written(
+            classes.join(clusters.withColumnRenamed("node", "key"), "key", "left").join(off.select("key", "off"), "key", "left")
+            .select(F.coalesce("label", "key").alias("cluster"), "key", F.coalesce("off", F.lit(0.0)).alias("off"), "size", "sketch"))
+        x = inside.select(F.col("cluster").alias("a"), *[F.col(c).alias(f"x_{c}") for c in ("key", "off", "size", "sketch")])
+        y = inside.select(F.col("cluster").alias("b"), *[F.col(c).alias(f"y_{c}") for c in ("key", "off", "size", "sketch")])
+        hub = pivot.select(F.col("cluster").alias("b"), *[F.col(c).alias(f"b_{c}") for c in ("size", "sketch", "radius")])
+        reaching = (own.join(hub, "b").join(x, "a")
+                    .where((F.col("x_off") + F.col("b_radius") >= F.col("far") - limit)
+                           & (_least_distance("x", "b") <= limit + F.col("b_radius")))
+                    .drop("b_size", "b_sketch", "b_radius"))
+        members = (reaching.join(y, "b")
+                   .where((F.col("x_off") + F.col("y_off") >= F.col("far") - limit) & (_least_distance("x", "y") <= limit))
+                   .select(F.col("x_key").alias("a"), F.col("y_key").alias("b")).distinct())
         joined = written(joined.unionByName(_measured(docs, members, classes, width).where(is_link).select("a", "b")))
     return rows, joined, components(joined)
 
