@@ -7,10 +7,12 @@ Relations between sets save most of the work, at three steps.
   enough that a linked set must share NEEDED of them. A list is cut into blocks of size; a block whose
   sizes leave too little room for the overlap is skipped whole. Positions and sketches of two entries are
   compared within the join of a list's neighbouring blocks, which passes on only pairs that may be linked.
-* Answers of a similar set. Neighbours in a list that turn out to be linked form clusters. From then on
-  a cluster is one entry of a list, and its first set, the pivot, answers for it: distances of sets are a
-  metric, so two clusters whose pivots lie farther apart than the limit and both radii together have
-  no link, and two whose pivots are linked need no other. Only what lies between is looked at set by set.
+* Answers of a similar set. Each set is compared with the LAGS before it in its lists, each list in an order
+  of its own, and the nearest one is measured; linked sets form groups, for which the same is done again, TURNS
+  in all. Sets much closer than a link asks for form clusters. From then on a cluster is one entry of a list, and its first
+  set, the pivot, answers for it: distances of sets are a metric, so two clusters whose pivots lie farther apart
+  than the limit and both radii together have no link, and two whose pivots are linked need no other. Only
+  what lies between is looked at set by set, and two clusters of one group are not looked at again.
 * Sketches. A set's sketch has, for each of SKETCH_BITS places, the parity of the shingles hashed to it. Two
   sketches differ in at most as many places as their sets have shingles apart, so they bound the distance
   from below and drop no link. They tell 0.72 from 0.85 up to about a thousand shingles; larger sets fill the
@@ -44,6 +46,11 @@ BROADCAST_IDS = 1_000_000
 #: Sets a task remembers, so as to index copies once; others are told apart after the shuffle.
 SEEN_SETS = 500_000
 SKETCH_BITS = 512
+#: Entries before its own that a set is compared with in each of its lists.
+LAGS = 4
+TURNS = 2
+#: Sets of a cluster are linked at this share of the distance a link allows.
+TIGHT = 1 / 3
 
 
 def shingle_sets(array: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,14 +223,27 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
     index = written(_index(docs, frequency, width, percent))
     is_link = F.col("shared") * 100 >= F.col("either") * percent
 
-    # Neighbours in lists: any true links will do here.
-    order = Window.partitionBy("token").orderBy("n", "key")
-    beside = (index.select("key", "n", F.lag("key").over(order).alias("a"), F.lag("n").over(order).alias("m"))
-              .where("a IS NOT NULL").where(_room(F.col("m"), F.col("n"), percent))
-              .groupBy("a", F.col("key").alias("b"), "m", "n").agg(F.count("*").alias("times"))
-              .where(F.col("times") >= F.least(F.lit(NEEDED), F.ceil(F.least("m", "n") * percent / 100))))
-    near = written(_measured(docs, beside, classes, width).where(is_link))
-    clusters = written(components(near.select("a", "b")))
+    # Neighbours in lists: any true links will do here, so the nearest set outside its group is enough for a group.
+    limit = 1 - percent / 100 + 1e-9
+    listed = written(index.join(classes.select("key", "sketch"), "key"))
+    near = groups = None
+    for turn in range(TURNS):
+        here = listed.withColumn("band", F.col("key")) if groups is None else listed.join(
+            groups.withColumnRenamed("node", "key"), "key", "left").withColumn("band", F.coalesce("band", "key"))
+        order = Window.partitionBy("token").orderBy(F.xxhash64("key", "token", F.lit(turn)), "key")
+        before = here.select(F.col("key").alias("b"), F.col("band").alias("b_band"), F.col("n").alias("b_size"), F.col("sketch").alias("b_sketch"), *[
+            F.lag(c, k).over(order).alias(f"a{k}_{name}") for k in range(1, LAGS + 1)
+            for c, name in (("key", "key"), ("band", "band"), ("n", "size"), ("sketch", "sketch"))])
+        ways = [F.when((F.col(f"a{k}_band") != F.col("b_band")) & _room(F.col(f"a{k}_size"), F.col("b_size"), percent)
+                       & (_least_distance(f"a{k}", "b") <= limit),
+                       F.struct(_least_distance(f"a{k}", "b").alias("apart"), F.col(f"a{k}_key").alias("a"), "b"))
+                for k in range(1, LAGS + 1)]
+        beside = (before.select("b_band", F.array_min(F.array(*ways)).alias("way")).where("way IS NOT NULL")
+                  .groupBy("b_band").agg(F.min("way").alias("way")).select("way.a", "way.b"))
+        links = _measured(docs, beside, classes, width).where(is_link)
+        near = written(links if near is None else near.unionByName(links))
+        groups = written(components(near.select("a", "b")).withColumnRenamed("label", "band"))
+    clusters = written(components(near.where((F.col("either") - F.col("shared")) <= F.col("either") * limit * TIGHT).select("a", "b")))
 
     # Pivots and radii: how far each set is from the first of its cluster.
     spokes = clusters.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
@@ -232,19 +252,20 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
     radius = written(off.groupBy("cluster").agg(F.max("off").alias("radius")))
 
     # Lists of clusters: pairs that share as many first shingles as a link needs, and whose pivots may be near enough.
-    limit = 1 - percent / 100 + 1e-9
-    labelled = (index.join(clusters.withColumnRenamed("node", "key"), "key", "left")
-                .select("token", "key", "n", "at", F.coalesce("label", "key").alias("cluster")).repartition("token"))
+    placed = written(groups.join(clusters, "node", "left").select(
+        F.col("node").alias("key"), F.coalesce("label", "node").alias("cluster"), "band"))
+    labelled = (index.join(placed, "key", "left").select(
+        "token", "n", "at", F.coalesce("cluster", "key").alias("cluster"), F.coalesce("band", "key").alias("band")).repartition("token"))
     block = F.floor(F.log("n") / -math.log(percent / 100) + 1e-9).cast("int")
     list_ = Window.partitionBy("token")
-    entry = (labelled.groupBy("token", "cluster", block.alias("block"))
+    entry = (labelled.groupBy("token", "cluster", "band", block.alias("block"))
              .agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("at").alias("p0"), F.max("at").alias("p1"))
-             .withColumn("first", F.min("cluster").over(list_)).withColumn("last", F.max("cluster").over(list_))
+             .withColumn("first", F.min("band").over(list_)).withColumn("last", F.max("band").over(list_))
              .where("first <> last").drop("first", "last"))
     pivot = written(classes.select(F.col("key").alias("cluster"), "size", "sketch").join(radius, "cluster", "left")
                     .select("cluster", "size", "sketch", F.coalesce("radius", F.lit(0.0)).alias("radius")))
     entry = written(entry.join(pivot, "cluster"))
-    facts = ("n0", "n1", "p0", "p1", "size", "sketch", "radius")
+    facts = ("band", "n0", "n1", "p0", "p1", "size", "sketch", "radius")
     left = entry.select("token", "block", F.col("cluster").alias("a"), *[F.col(c).alias(f"a_{c}") for c in facts])
     right = entry.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"),
                          F.col("cluster").alias("b"), *[F.col(c).alias(f"b_{c}") for c in facts])
@@ -253,7 +274,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
     most = F.least("a_p1", "b_p1") + 1 + F.least(F.col("a_n1") - F.col("a_p0"), F.col("b_n1") - F.col("b_p0")) - 1
     sizes = (F.col("a_n1") * 100 >= F.col("b_n0") * percent) & (F.col("b_n1") * 100 >= F.col("a_n0") * percent)
     near_enough = _least_distance("a", "b") <= limit + F.col("a_radius") + F.col("b_radius")
-    shared = (left.join(right, ["token", "block"]).where((F.col("a") < F.col("b")) & sizes & (most >= least) & near_enough)
+    shared = (left.join(right, ["token", "block"]).where((F.col("a") < F.col("b")) & (F.col("a_band") != F.col("b_band")) & sizes & (most >= least) & near_enough)
               .groupBy("a", "b", "token").agg(*[F.min(c).alias(c) for c in ("a_n0", "b_n0")], *[F.max(c).alias(c) for c in ("a_n1", "b_n1")]))
     across = (shared.groupBy("a", "b").agg(F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("a_n0", "b_n0")],
                                            *[F.max(c).alias(c) for c in ("a_n1", "b_n1")])
