@@ -62,3 +62,20 @@ def test_sample_is_the_first_keys_in_stable_order(spark):
     assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
     assert sampling.sample_keys(frame.limit(0), seeds, "class").count() == 0
     assert sampling.sample_keys(frame, seeds.limit(0), "class").count() == 0
+
+
+@pytest.mark.parametrize("share", (1, 3, 1_024))
+def test_sample_within_bounds(spark, monkeypatch, share):
+    """Bounds from all, some or hardly any keys give the same sample, and no row leaves the JVM."""
+    monkeypatch.setattr(sampling, "BOUND_ROWS", share, raising=False)
+    rows = [(g, f"{g}{i}") for g, n in (("big", 9_000), ("small", 2), ("three", 3)) for i in range(n)] + [("same", "x")] * 50
+    frame = spark.createDataFrame(rows, "class string, flagged_pk string").repartition(5)
+    seeds = spark.createDataFrame([(g, s) for g in ("big", "small", "three", "same") for s in (5, 6)], "class string, seed long")
+    want = []
+    for group in ("big", "small", "three", "same"):
+        for seed in (5, 6):
+            own = sorted((hashlib.md5(f"{seed}:{k}".encode()).hexdigest(), k) for g, k in rows if g == group)[:3]
+            want += [(group, seed, i, k) for i, (_, k) in enumerate(own, start=1)]
+    plan = sampling.sample_keys(frame, seeds, "class")
+    assert sorted(map(tuple, plan.collect())) == sorted(want)
+    assert "InArrow" not in plan._jdf.queryExecution().executedPlan().toString()
