@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from contract.operator_queries import QUERIES
 from recon.functions import text
 from recon.operators import grading, lineage, reconcile, transcripts
+from recon.sources.store import store_for
 
 
 def test_closure_of_a_long_chain_and_of_many_paths(spark):
@@ -69,3 +71,11 @@ def test_first_column_by_position_and_failures_alone(spark, tmp_path):
     spark = sandbox.session
     hits, errors = grading.executed([(i, p) for i, p in enumerate(plans) if p is not None], write)
     assert list(errors) == [1] and sum(h.count() for h in hits) == 4
+
+
+def test_schemas_are_compared_without_writing_reports(spark, folder, tmp_path):
+    link = tmp_path / "tables"
+    link.symlink_to(folder)
+    found = QUERIES["schema_diff"](spark, str(link)).collect()
+    assert {(r.defect_id, r.change) for r in found} >= {("NW01", "missing")} and all(r.n_rows > 0 for r in found)
+    assert not [n for n in store_for(spark, str(link)).names() if n.startswith(("trap_", "clean_", "wide_", "by_"))]
