@@ -182,3 +182,24 @@ def test_numbers_have_no_gaps_at_any_block_size(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and len(found[0]) == 704
     for c, n in (sizes | {"d": 1}).items():
         assert sorted(v for (d, _), v in found[0].items() if d == c) == list(range(n))
+
+
+def test_verdicts_from_summaries_of_hits(spark):
+    """Repeated and null keys, keys planted for several seeds, a silent run and one that fails on the clean side."""
+    hits = [("d", "a", "trap", k) for k in ["p1", "p1", "p2", "x", None]] + [("d", "a", "clean", k) for k in ["p1", None, None]]
+    hits += [("d", "b", "trap", "y"), ("e", "a", "trap", "p1"), ("d", "c", "clean", "z")]
+    outcomes = [(d, c, s, "BAD" if (c, s) == ("b", "clean") else "") for d, c in (("d", "a"), ("d", "b"), ("d", "c"), ("e", "a")) for s in ("trap", "clean")]
+    planted = spark.createDataFrame(
+        [("d", 1, 1, "p1"), ("d", 1, 2, "p2"), ("d", 2, 1, "p2"), ("d", 3, 1, "other"), ("e", 1, 1, "p9")],
+        "defect_id string, seed long, rank int, flagged_pk string")
+    frame = spark.createDataFrame(hits, "defect_id string, candidate string, side string, pk string")
+    summary = grading.hit_summary(frame, planted)
+    assert {(r.candidate, r.side, r.planted_pk, r.n_keys, r.n_rows) for r in summary.collect() if r.defect_id == "d"} == {
+        ("a", "trap", "p1", 1, 2), ("a", "trap", "p2", 1, 1), ("a", "trap", None, 1, 2), ("a", "clean", None, 0, 3),
+        ("b", "trap", None, 1, 1), ("c", "clean", None, 0, 1)}
+    ran = spark.createDataFrame(outcomes, "defect_id string, candidate string, side string, error string")
+    got = {(r.defect_id, r.candidate, r.seed): (r.catch, r.fp, r.n_caught, r.n_clean) for r in grading.grade_summaries(summary, ran, planted).collect()}
+    assert got == {
+        ("d", "a", 1): (True, True, 3, 3), ("d", "a", 2): (True, True, 3, 3), ("d", "a", 3): (False, True, 3, 3),
+        **{("d", "b", s): (False, True, 1, 0) for s in (1, 2, 3)}, **{("d", "c", s): (False, True, 0, 1) for s in (1, 2, 3)},
+        ("e", "a", 1): (False, False, 1, 0)}
