@@ -73,3 +73,16 @@ def test_unusable_sources_fail_the_job(spark):
     for tables in ({"a": spark.range(3)}, {"a": spark.range(0), "b": spark.range(0)}):
         with pytest.raises(ValueError, match="unusable"):
             catalog.require_usable(tables)
+
+
+def test_planted_drift_samples_once(spark, folder):
+    """The second sample is written; comparing it reads neither the flagged keys nor the buckets of the reports again."""
+    from __spark_entry__ import queries
+    from recon.plans.workbench import Workbench
+
+    result = queries()["planted_drift"](spark, folder)
+    assert not [p for p in result.inputFiles() if "gold_flagged" in p]
+    bench = Workbench(spark, folder)
+    looked_up = bench.store.files("trap_SK01")
+    assert "SelectedBucketsCount" not in looked_up._jdf.queryExecution().executedPlan().toString()
+    assert looked_up.exceptAll(bench.trap("SK01")).isEmpty() and bench.trap("SK01").exceptAll(looked_up).isEmpty()
