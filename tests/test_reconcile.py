@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from recon.operators.fanout import fanout_profile
 from recon.operators.joins import row_counts, salted_lookup
-from recon.operators.reconcile import diff, diff_wide, missing_rows, repeated_keys, row_mismatch, schema_diff
+from recon.operators.reconcile import (
+    diff, diff_wide, diff_wide_counts, keys_once, missing_rows, repeated_keys, row_mismatch, schema_diff,
+)
 
 TYPE = "k string, v double"
 
@@ -113,3 +115,40 @@ def test_fanout_counts_rows_without_making_them(spark):
     found = fanout_profile(rows, "report", "key", child, "key").collect()
     assert [(r.report_key, r.rows_before, r.rows_after) for r in found] == [(1, 3, 7)]
     assert {r.key: r.copies for r in row_counts(child, "key", "key").collect()} == {10: 3, 12: 1}
+
+
+def wide_counts(frame):
+    return sorted((r.column, r.side, r.n_keys) for r in frame.collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_wide_counts_by_join_equal_those_by_grouping(spark, seed):
+    rng = random.Random(seed)
+
+    def side():
+        return [(k, rng.choice([None, 1.0, float("nan"), -0.0, 0.0]), rng.choice([None, "", "a", "b"])) for k in range(40) if rng.random() < 0.8]
+
+    left, right = (spark.createDataFrame(side(), "k int, v double, t string") for _ in range(2))
+    assert keys_once(left, ["k"]).first().once and keys_once(right, ["k"]).first().once
+    by_join = wide_counts(diff_wide_counts(left, right, ["k"], once=True))
+    assert by_join == wide_counts(diff_wide_counts(left, right, ["k"]))
+    assert {s for _, s, _ in by_join} == {"missing", "extra", "changed"}
+
+
+def test_keys_once_sees_repeats_and_nulls(spark):
+    def once(rows):
+        return keys_once(spark.createDataFrame(rows, "a int, b int"), ["a", "b"]).first().once
+
+    assert once([(1, 1), (1, 2)]) and once([])
+    assert not once([(1, 1), (1, 1)]) and not once([(1, None), (1, 2)])
+
+
+def test_wide_counts_of_bucketed_reports_sort_no_text_and_move_no_row(spark, tmp_path):
+    rows = spark.range(50).selectExpr("id AS k", "concat('t', id % 7) AS t")
+    names = [f"wide_counts_{tmp_path.name}_{i}".lower() for i in range(2)]
+    for name in names:
+        rows.write.bucketBy(4, "k").sortBy("k").option("path", str(tmp_path / name)).saveAsTable(name)
+    left, right = (spark.table(n) for n in names)
+    plan = diff_wide_counts(left, right, ["k"], once=True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortAggregate" not in plan
+    assert wide_counts(diff_wide_counts(left, right.withColumn("t", F.lit("x")), ["k"], once=True)) == [("t", "changed", 50)]
