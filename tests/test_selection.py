@@ -9,7 +9,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from recon.operators import sampling
+from recon.operators import sampling, walk
+from recon.sources.store import TableStore
 
 
 def split_by_hand(rows, share):
@@ -79,3 +80,24 @@ def test_sample_within_bounds(spark, monkeypatch, share):
     plan = sampling.sample_keys(frame, seeds, "class")
     assert sorted(map(tuple, plan.collect())) == sorted(want)
     assert "InArrow" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sample_row_is_the_smallest_and_found_by_its_first_column(spark):
+    rows = [(2, "b", 0.5), (1, "z", None), (1, "a", 2.0), (1, "a", None)]
+    kind = "`k.1` int, t string, v double"
+    assert walk.first_row_text(spark.createDataFrame(rows, kind)).first().evidence == "k.1=1 | t=a | v=None"
+    unkeyed = spark.createDataFrame([*rows, (None, "q", 1.0), (None, None, 3.0)], kind)
+    assert walk.first_row_text(unkeyed).first().evidence == "k.1=None | t=None | v=3.0"
+    assert walk.first_row_text(spark.createDataFrame([], kind)).first().evidence is None
+    plan = walk.first_row_text(unkeyed)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan  # only rows with the smallest first column are compared whole
+
+
+def test_rows_of_a_file_are_bounded_where_asked(spark):
+    store = TableStore(spark)
+    rows = spark.range(0, 1000, 1, 1).withColumn("same", F.lit("x"))
+    table = store.table("even", lambda: rows, file_rows=100)
+    held = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+    assert held == [100] * 10 and table.distinct().count() == 1000
+    whole = store.table("whole", lambda: rows)
+    assert [r["count"] for r in whole.groupBy(F.input_file_name()).count().collect()] == [1000]
