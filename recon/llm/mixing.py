@@ -43,6 +43,8 @@ TARGET = (0.80, 0.18, 0.02)
 BITS = 18
 #: What separates runs of marks: white space, letters and digits, and bytes of other scripts.
 NOT_MARK = WHITE + bytes(b for b in range(256) if b not in NOT_ALNUM)
+#: Bytes of text a step works on: its words and marks take many times as much, in each of an executor's workers.
+STEP_BYTES = 1 << 20
 SMOOTHING = 0.5
 #: Labelled documents, at most about so many, that words are counted in.
 TEACHING_ROWS = 20_000
@@ -79,7 +81,7 @@ def word_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
     def counted(batches):
         table = np.zeros((len(DOMAINS), 1 << BITS), np.int64)
         rows = np.zeros(len(DOMAINS), np.int64)
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             domain = part.column("domain").to_numpy()
             for at, bounds in _streams(part.column("text")):
                 np.add.at(table, (np.repeat(domain, np.diff(bounds)), at), 1)
@@ -133,7 +135,7 @@ def fit_posterior(docs: DataFrame, labels: DataFrame) -> Posterior:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [part.column("domain"), _lists(sent.value.sums(part.column("text"))[0])], names=["domain", "sums"])
 
@@ -156,7 +158,7 @@ def posteriors(docs: DataFrame, model: Posterior) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             sums, words = sent.value.sums(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(words, pa.int64()), _lists(sent.value.of(sums))],
@@ -250,7 +252,7 @@ def resample(docs: DataFrame, labels: DataFrame, weights: tuple[float, ...] = TA
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def taken(batches):
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             p = sent.value.of(sent.value.sums(part.column("text"))[0])
             r = np.ones(len(p))
             for g in history:

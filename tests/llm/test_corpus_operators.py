@@ -225,3 +225,14 @@ def test_pipeline_stages(spark, edge, labels, tmp_path):
 def test_pipeline_on_documents(spark):
     folder = "/root/testdata/sf0.001"
     assert corpus_pipeline.run(spark, folder).count() >= 150
+
+
+def test_mixing_scores_in_steps_of_a_megabyte(spark):
+    class Watching(mixing.Posterior):
+        def sums(self, array):
+            assert array.nbytes < 5 << 18, array.nbytes
+            return mixing.Posterior.sums(self, array)
+
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word mark! "), 1500).alias("text"))
+    got = mixing.posteriors(docs, Watching(np.ones((3, 1 << mixing.BITS)), np.ones(3))).collect()
+    assert len(got) == 300 and {r.n_tokens for r in got} == {3000}
