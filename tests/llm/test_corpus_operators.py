@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recon.llm import jaccard_join, kd_search, kd_sharding, mixing
-from recon.llm.common import table
+from recon.llm.common import slices, table
 from recon.llm.components import components
 
 
@@ -227,12 +227,13 @@ def test_pipeline_on_documents(spark):
     assert corpus_pipeline.run(spark, folder).count() >= 150
 
 
-def test_mixing_scores_in_steps_of_a_megabyte(spark):
-    class Watching(mixing.Posterior):
-        def sums(self, array):
-            assert array.nbytes < 5 << 18, array.nbytes
-            return mixing.Posterior.sums(self, array)
+def test_mixing_scores_in_steps_of_a_megabyte(spark, monkeypatch):
+    def watched(batches, *limit):
+        for part in slices(batches, *limit):
+            assert part.column("text").nbytes < 5 << 18
+            yield part
 
+    monkeypatch.setattr(mixing, "slices", watched)
     docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word mark! "), 1500).alias("text"))
-    got = mixing.posteriors(docs, Watching(np.ones((3, 1 << mixing.BITS)), np.ones(3))).collect()
+    got = mixing.posteriors(docs, mixing.Posterior(np.ones((3, 1 << mixing.BITS)), np.ones(3))).collect()
     assert len(got) == 300 and {r.n_tokens for r in got} == {3000}
