@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +31,23 @@ CAPACITY = 4096
 END_ID = 2
 #: Left-overs a pool has on average.
 POOL = 4_000
-#: Words whose ids a task remembers; beyond that it starts anew.
+#: Parts of words whose ids a task remembers; beyond that it starts anew.
 REMEMBERED = 500_000
+#: Words of a line, and lines of a call, that are encoded together.
+LINE = 100
+#: ASCII marks that follow a word's letters as a pre-token of their own. An apostrophe may belong to the letters.
+_CLOSING = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+#: Latin letters whose lower case is one Latin letter too: a run of them is one pre-token.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250")
 
 
 class WordEncoder:
-    """Ids of a text from the ids of its words, each distinct word encoded once.
+    """Ids of a text from the ids of its words, each distinct part of a word encoded once.
 
     The tokenizer lower-cases, drops white space before it merges, and its special strings hold none,
-    so a text's ids are those of its words in a row. Words are cut at ASCII white space.
+    so a text's ids are those of its words in a row. Words are cut at ASCII white space. A run of letters and the
+    marks that close it are two parts, as they are two pre-tokens; any other word is one part. What is remembered
+    lies in Arrow and numpy arrays: parts, their ids in a row, and where each part's ids begin.
     """
 
     def __init__(self, path: str):
@@ -48,72 +57,82 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
-        # The same merges without normaliser and splitting, for words that these leave as they are.
-        self._bare = Tokenizer.from_file(path)
-        self._bare.no_padding()
-        self._bare.no_truncation()
-        self._bare.normalizer = None
-        self._bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # The same merges, held once, for runs of letters with blanks between them.
+        self._runs = Tokenizer(self._tokenizer.model)
+        self._runs.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=False)
+        suffix = self._tokenizer.model.end_of_word_suffix
+        self._closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._closes[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self._reset()
 
     def _reset(self) -> None:
-        self._index: dict[bytes, int] = {}
+        self._parts = pa.array([], pa.string())
         self._ids = np.empty(0, np.uint32)
         self._ends = np.zeros(1, np.int64)
 
-    def _learn(self, new: list[bytes]) -> None:
-        plain, stems, marks, other = [], [], [], []
-        for raw in new:
-            word = raw.decode()
-            stem = word.rstrip(_CLOSING)
-            if _one_letter_run(word):
-                plain.append(word)
-            elif len(stem) < len(word) and stem[-1:].isascii() and _one_letter_run(stem):
-                stems.append(stem)
-                marks.append(word[len(stem):])
-            else:
-                other.append(word)
-        bare = [x.ids for x in self._bare.encode_batch_fast(plain + stems, add_special_tokens=False)]
-        ends = {m: self._bare.encode(m, add_special_tokens=False).ids for m in set(marks)}
-        found = bare[: len(plain)] + [x + ends[m] for x, m in zip(bare[len(plain):], marks)]
-        found += [x.ids for x in self._tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        words = chain(plain, map(str.__add__, stems, marks), other)
-        self._index.update(zip((w.encode() for w in words), range(len(self._index), len(self._index) + len(new))))
-        self._ids = np.concatenate([self._ids, flat])
-        self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
+    def _encoded_runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, ids a word) of runs of letters; the last id of a word is one that closes words."""
+        lines = [" ".join(words[i: i + LINE]) for i in range(0, len(words), LINE)]
+        flat = [np.array(x.ids, np.uint32) for i in range(0, len(lines), LINE)
+                for x in self._runs.encode_batch_fast(lines[i: i + LINE], add_special_tokens=False)]
+        ids = np.concatenate([np.empty(0, np.uint32), *flat])
+        ends = np.flatnonzero(self._closes[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not close each word by an id of its own")
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Where each of the new parts is remembered."""
+        known = len(self._parts)
+        letters = pc.match_substring_regex(new, f"^[{_LETTERS}]+$")
+        runs, other = new.filter(letters), new.filter(pc.invert(letters))
+        ids, sizes = self._encoded_runs([w.lower() for w in runs.to_pylist()])
+        rest = [x.ids for x in self._tokenizer.encode_batch_fast(other.to_pylist(), add_special_tokens=False)]
+        more = np.fromiter(map(len, rest), np.int64, len(rest))
+        self._parts = pa.concat_arrays([self._parts, runs, other])
+        self._ids = np.concatenate([self._ids, ids, np.fromiter(chain.from_iterable(rest), np.uint32, int(more.sum()))])
+        self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(np.concatenate([sizes, more]))])
+        first = letters.to_numpy(zero_copy_only=False)
+        return known + np.where(first, np.cumsum(first), len(runs) + np.cumsum(~first)) - 1
 
     @staticmethod
-    def _split(text: str) -> list[bytes]:
-        raw = text.encode()
+    def _split(texts: pa.Array) -> pa.ListArray:
         # Lower case of ASCII only. With capitals made small, a special string could arise that was not there.
-        return raw.split() if b"<|" in raw else raw.lower().split()
+        special = pc.match_substring(texts, "<|")
+        return pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
 
-    def __call__(self, values: list[str]) -> list[np.ndarray]:
-        split = [self._split(v) for v in values]
-        new = set().union(*split) - self._index.keys()
-        if len(self._index) + len(new) > REMEMBERED:
+    @staticmethod
+    def _halves(words: pa.Array) -> pa.Array:
+        """Two parts a word, one after the other: a run of letters and its closing marks, or the word and nothing."""
+        stems = pc.ascii_rtrim(words, characters=_CLOSING)
+        run = pc.match_substring_regex(stems, f"^[{_LETTERS}]+$")
+        _, offsets, data = words.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[words.offset: words.offset + len(words) + 1]
+        cuts = np.repeat(offsets, 2)[:-1]
+        cuts[1::2] = np.where(run.to_numpy(zero_copy_only=False), offsets[:-1] + pc.binary_length(stems).to_numpy(), offsets[1:])
+        return pa.StringArray.from_buffers(2 * len(words), pa.py_buffer(cuts), data)
+
+    def __call__(self, values: pa.Array | list[str]) -> list[np.ndarray]:
+        if not len(values):
+            return []
+        split = self._split(pa.array(values, pa.string()) if isinstance(values, list) else values.cast(pa.string()).fill_null(""))
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        words = split.flatten().dictionary_encode()
+        halves = self._halves(words.dictionary).dictionary_encode()
+        known = pc.index_in(halves.dictionary, value_set=self._parts).fill_null(-1).to_numpy().copy()
+        if len(self._parts) + (known < 0).sum() > REMEMBERED:
             self._reset()
-            new = set().union(*split)
-        if new:
-            self._learn(list(new))
-        return [self._one(ws) for ws in split]
-
-    def _one(self, ws: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self._index.__getitem__, ws), np.int64, len(ws))
+            known[:] = -1
+        if (known < 0).any():
+            known[known < 0] = self._learn(halves.dictionary.filter(pa.array(known < 0)))
+        at = known[halves.indices.to_numpy()].reshape(-1, 2)[words.indices.to_numpy()].ravel()
         start, size = self._ends[at], self._ends[at + 1] - self._ends[at]
-        offsets = np.repeat(start - (np.cumsum(size) - size), size)
-        return self._ids[offsets + np.arange(len(offsets))]
-
-
-#: ASCII marks that follow a word's letters as a pre-token of their own. An apostrophe may belong to the letters.
-_CLOSING = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
-
-
-def _one_letter_run(word: str) -> bool:
-    """Lower-case Latin letters alone: one pre-token, which the normaliser leaves as it is."""
-    return word.isalpha() and max(word) < "\u0250" and word == word.lower()
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        ids = self._ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        cuts = ends[2 * bounds]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 @functools.lru_cache(maxsize=1)
@@ -129,7 +148,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         encode = encoder(tokenizer_path)
         for part in slices(batches, SLICE_BYTES // 2):
             out = defaultdict(list)
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for start in range(0, len(ids), capacity):
                     own = ids[start: start + capacity]

@@ -295,3 +295,17 @@ def test_word_encoder_equals_tokenizer():
     for _ in range(3000):
         text = "".join(pick.choices(parts, k=pick.randint(0, 12)))
         assert encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_word_encoder_learns_each_part_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(vocabulary(WORD_MODEL)), packing.WordEncoder(vocabulary(WORD_MODEL))
+    text = "Wort wort, (wort) WORT. été Été, 4.0. wort"
+    assert encode([text, ""])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(encode._parts.to_pylist()) == sorted(["", "wort", ",", "(wort)", ".", "été", "Été", "4.0."])
+    pick = random.Random(5)
+    texts_ = [" ".join(f"{'abcdefgh'[k % 8]}{'xyz'[k % 3]}{'!' * (k % 4)}{k % 7}"[: 1 + k % 5] for k in pick.choices(range(999), k=40)) for _ in range(50)]
+    monkeypatch.setattr(packing, "REMEMBERED", 60)  # starts anew again and again
+    for i in range(0, 50, 5):
+        assert [x.tolist() for x in encode(texts_[i: i + 5])] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts_[i: i + 5]]
