@@ -15,8 +15,9 @@ Relations between sets save most of the work, at three steps.
   what lies between is looked at set by set, and two clusters of one group are not looked at again.
 * Sketches. A set's sketch has, for each of SKETCH_BITS places, the parity of the shingles hashed to it. Two
   sketches differ in at most as many places as their sets have shingles apart, so they bound the distance
-  from below and drop no link. They tell 0.72 from 0.85 up to about a thousand shingles; larger sets fill the
-  places, and pairs of them pass on to be counted.
+  from below and drop no link. Sets of more than SKETCHED shingles would fill the places; of up to four times as many
+  a quarter of the shingles is taken, by hash, and so on. Sketches of different shares bound nothing. Where any true links
+  will do, as among neighbours, pairs whose sketches differ by clearly more places than a link's would are not measured either.
 
 Frequencies come from counters of a fixed number that cover all texts; they choose the order alone, and
 any order gives the same links. Sets are known by a 64-bit digest, shingles by a 64-bit hash.
@@ -28,6 +29,7 @@ id are each linked by their own text. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -46,6 +48,14 @@ BROADCAST_IDS = 1_000_000
 #: Sets a task remembers, so as to index copies once; others are told apart after the shuffle.
 SEEN_SETS = 500_000
 SKETCH_BITS = 512
+#: Shingles of a set whose sketch takes all of them.
+SKETCHED = 1_400
+#: Standard deviations of a full sketch's differing places, by which neighbours may differ more than a link makes expect.
+SPREAD = 3
+#: Entries of a list that are all compared with each other; longer lists are cut into blocks of size first.
+SHORT_LIST = 32
+#: Bytes of text a step works on: its shingles take many times as much, in each of an executor's workers.
+STEP_BYTES = 1 << 20
 #: Entries before its own that a set is compared with in each of its lists.
 LAGS = 4
 TURNS = 2
@@ -91,9 +101,20 @@ def digests(owner: np.ndarray, mark: np.ndarray, rows: int) -> np.ndarray:
     return mix(mix(out[0]) * np.uint64(3) + out[1]).view(np.int64)
 
 
+def _fourths(size: np.ndarray | Column) -> np.ndarray | Column:
+    """How often the shingles of sets of these sizes are quartered for their sketches; by whole numbers, so that both ways agree."""
+    steps = (size > SKETCHED * 4**k for k in range(12))
+    if isinstance(size, np.ndarray):
+        return sum(x.astype(int) for x in steps)
+    return functools.reduce(lambda a, b: a + b, [x.cast("int") for x in steps])
+
+
 def sketches(owner: np.ndarray, mark: np.ndarray, rows: int) -> pa.Array:
-    """SKETCH_BITS parities a set, as a list of 64-bit numbers."""
-    place = owner * SKETCH_BITS + (mix(mark * np.uint64(0x9E6C63D0876A9A47)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    """SKETCH_BITS parities a set, of a share of its shingles that falls with its size, as a list of 64-bit numbers."""
+    spread = mix(mark * np.uint64(0x9E6C63D0876A9A47))
+    share = (np.uint64(1) << (2 * _fourths(np.bincount(owner, minlength=rows))).astype(np.uint64)) - np.uint64(1)
+    taken = (spread >> np.uint64(32)) & share[owner] == 0
+    place = owner[taken] * SKETCH_BITS + (spread[taken] % np.uint64(SKETCH_BITS)).astype(np.int64)
     place, times = np.unique(place, return_counts=True)
     odd = np.zeros(rows * SKETCH_BITS, bool)
     odd[place[times % 2 == 1]] = True
@@ -101,18 +122,31 @@ def sketches(owner: np.ndarray, mark: np.ndarray, rows: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * words), pa.array(np.packbits(odd).view(np.int64)))
 
 
+def _apart(a: str, b: str) -> Column:
+    """Places in which the sketches ``a_sketch`` and ``b_sketch`` differ."""
+    return sum((F.bit_count(F.col(f"{a}_sketch")[i].bitwiseXOR(F.col(f"{b}_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+
+
 def _least_distance(a: str, b: str) -> Column:
     """A lower bound of the distance of the sets whose size and sketch are ``a_size``, ``a_sketch``, ``b_size``, ``b_sketch``."""
-    apart = sum((F.bit_count(F.col(f"{a}_sketch")[i].bitwiseXOR(F.col(f"{b}_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    apart = F.when(_fourths(F.col(f"{a}_size")) == _fourths(F.col(f"{b}_size")), _apart(a, b)).otherwise(0)
     return 2 * apart / (F.col(f"{a}_size") + F.col(f"{b}_size") + apart)
 
 
+def _likely(a: str, b: str, percent: int) -> Column:
+    """Whether sketches of the same share differ in no more places than those of linked sets do, chance included; proves nothing."""
+    level = _fourths(F.col(f"{a}_size"))
+    apart = (F.col(f"{a}_size") + F.col(f"{b}_size")) * F.lit((100 - percent) / (100 + percent)) / F.pow(F.lit(4.0), level)
+    places = SKETCH_BITS / 2 * (1 - F.exp(-2 * apart / SKETCH_BITS)) + SPREAD * math.sqrt(SKETCH_BITS) / 2
+    return (level == _fourths(F.col(f"{b}_size"))) & (_apart(a, b) <= places)
+
+
 def _surveyed(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, key, sketch) of every row, and (counter, n) of the frequencies, told apart by ``kind``."""
 
     def survey(batches):
         counters = np.zeros(1 << COUNTER_BITS, np.int64)
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             owner, mark = shingle_sets(part.column("text"), width)
             counters += np.bincount((mark >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counters))
             n = np.bincount(owner, minlength=part.num_rows)
@@ -139,7 +173,7 @@ def _index(docs: DataFrame, frequency: np.ndarray, width: int, percent: int) ->
 
     def entries(batches):
         frequency, seen = sent.value, set()
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             owner, mark = shingle_sets(part.column("text"), width)
             key = digests(owner, mark, part.num_rows)
             n = np.bincount(owner, minlength=part.num_rows)
@@ -187,7 +221,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     own = rows.join(F.broadcast(ids) if few else ids, "doc_id").select("text", "key")
 
     def made(batches):
-        for part in slices(batches):
+        for part in slices(batches, STEP_BYTES):
             owner, mark = shingle_sets(part.column("text"), width)
             right = digests(owner, mark, part.num_rows) == part.column("key").to_numpy()
             cuts = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
@@ -235,7 +269,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
             F.lag(c, k).over(order).alias(f"a{k}_{name}") for k in range(1, LAGS + 1)
             for c, name in (("key", "key"), ("band", "band"), ("n", "size"), ("sketch", "sketch"))])
         ways = [F.when((F.col(f"a{k}_band") != F.col("b_band")) & _room(F.col(f"a{k}_size"), F.col("b_size"), percent)
-                       & (_least_distance(f"a{k}", "b") <= limit),
+                       & (_least_distance(f"a{k}", "b") <= limit) & _likely(f"a{k}", "b", percent),
                        F.struct(_least_distance(f"a{k}", "b").alias("apart"), F.col(f"a{k}_key").alias("a"), "b"))
                 for k in range(1, LAGS + 1)]
         beside = (before.select("b_band", F.array_min(F.array(*ways)).alias("way")).where("way IS NOT NULL")
@@ -261,20 +295,28 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
     entry = (labelled.groupBy("token", "cluster", "band", block.alias("block"))
              .agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("at").alias("p0"), F.max("at").alias("p1"))
              .withColumn("first", F.min("band").over(list_)).withColumn("last", F.max("band").over(list_))
-             .where("first <> last").drop("first", "last"))
+             .where("first <> last").drop("first", "last")
+             .withColumn("entries", F.count("*").over(list_)))
     pivot = written(classes.select(F.col("key").alias("cluster"), "size", "sketch").join(radius, "cluster", "left")
                     .select("cluster", "size", "sketch", F.coalesce("radius", F.lit(0.0)).alias("radius")))
     entry = written(entry.join(pivot, "cluster"))
     facts = ("band", "n0", "n1", "p0", "p1", "size", "sketch", "radius")
-    left = entry.select("token", "block", F.col("cluster").alias("a"), *[F.col(c).alias(f"a_{c}") for c in facts])
-    right = entry.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"),
-                         F.col("cluster").alias("b"), *[F.col(c).alias(f"b_{c}") for c in facts])
+    # Short lists are joined with themselves whole, by one shuffle; of long ones, neighbouring blocks.
+    few, many = entry.where(F.col("entries") <= SHORT_LIST), entry.where(F.col("entries") > SHORT_LIST)
+
+    def side(name: str) -> list[Column]:
+        return [F.col("token"), F.col("cluster").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in facts]]
+
+    around = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block")
+    beside = (few.select(*side("a"), F.col("block").alias("a_block")).join(few.select(*side("b"), F.col("block").alias("b_block")), "token")
+              .where(F.abs(F.col("a_block") - F.col("b_block")) <= 1).drop("a_block", "b_block")
+              .unionByName(many.select(*side("a"), "block").join(many.select(*side("b"), around), ["token", "block"]).drop("block")))
     least = F.ceil((F.col("a_n0") + F.col("b_n0")) * F.lit(percent / (100 + percent)) - 1e-6)
     # Shared before and after this shingle, at most.
     most = F.least("a_p1", "b_p1") + 1 + F.least(F.col("a_n1") - F.col("a_p0"), F.col("b_n1") - F.col("b_p0")) - 1
     sizes = (F.col("a_n1") * 100 >= F.col("b_n0") * percent) & (F.col("b_n1") * 100 >= F.col("a_n0") * percent)
     near_enough = _least_distance("a", "b") <= limit + F.col("a_radius") + F.col("b_radius")
-    shared = (left.join(right, ["token", "block"]).where((F.col("a") < F.col("b")) & (F.col("a_band") != F.col("b_band")) & sizes & (most >= least) & near_enough)
+    shared = (beside.where((F.col("a") < F.col("b")) & (F.col("a_band") != F.col("b_band")) & sizes & (most >= least) & near_enough)
               .groupBy("a", "b", "token").agg(*[F.min(c).alias(c) for c in ("a_n0", "b_n0")], *[F.max(c).alias(c) for c in ("a_n1", "b_n1")]))
     across = (shared.groupBy("a", "b").agg(F.count("*").alias("times"), *[F.min(c).alias(c) for c in ("a_n0", "b_n0")],
                                            *[F.max(c).alias(c) for c in ("a_n1", "b_n1")])

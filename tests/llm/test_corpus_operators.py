@@ -102,6 +102,39 @@ def test_jaccard_chains_of_near_copies(spark, tmp_path):
         assert sorted(tuple(r) for r in got) == groups_by_hand(rows, 2, percent)
 
 
+def test_jaccard_long_lists_and_quartered_sketches(spark, tmp_path, monkeypatch):
+    """Every list is cut into blocks, sketches of sets of over 24 shingles take a share of them: the links stay."""
+    from tests.llm.conftest import write_docs
+
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 1)
+    monkeypatch.setattr(jaccard_join, "SKETCHED", 24)
+    words = [f"w{i}" for i in range(130)]
+    rows = [(10 * n + k, " ".join([*words[:n], *[f"x{n}y{k}z{j}" for j in range(k)], "tail of all texts"])) for n in (20, 22, 25, 90, 98, 130) for k in range(4)]
+    docs = spark.read.parquet(write_docs(tmp_path / "d.parquet", rows))
+    got = jaccard_join.near_groups(docs, 2, 85).collect()
+    assert sorted(tuple(r) for r in got) == groups_by_hand(rows, 2, 85)
+
+
+def test_sketches_bound_the_distance_and_tell_large_sets_apart(spark):
+    rng, rows = np.random.default_rng(3), []
+    for n in (3, 40, 300, 1390, 1410, 3000, 5590, 5610, 30_000):
+        for other in (0, n // 50, n // 20, n):  # shingles of one set that the other lacks, in both
+            marks = [np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))]
+            marks.append(np.sort(np.concatenate([marks[0][: n - other], rng.integers(0, 2**64, other + n // 99, dtype=np.uint64)])))
+            owner = np.repeat([0, 1], [len(m) for m in marks])
+            a, b = jaccard_join.sketches(owner, np.concatenate(marks), 2).to_pylist()
+            shared = n - other
+            rows.append((n, other, 1 - shared / (len(marks[1]) + other), len(marks[0]), a, len(marks[1]), b))
+    found = spark.createDataFrame(rows, "n int, other int, far double, a_size int, a_sketch array<bigint>, b_size int, b_sketch array<bigint>").select(
+        "n", "other", "far", jaccard_join._least_distance("a", "b").alias("least"), jaccard_join._likely("a", "b", 85).alias("likely")).collect()
+    assert all(r.least <= r.far + 1e-9 for r in found)
+    level = {n: int(jaccard_join._fourths(np.array([n]))[0]) for n in (1400, 1401, 5600, 5601, 22_401)}
+    assert level == {1400: 0, 1401: 1, 5600: 1, 5601: 2, 22_401: 3}
+    same = [r for r in found if r.n not in (1390, 5590)]  # their partners lie beyond the limit
+    assert all(r.likely for r in same if r.far <= 0.15)
+    assert not any(r.likely for r in same if r.other == r.n >= 300)
+
+
 def test_jaccard_empty_and_kept_rows(edge, empty, edge_rows):
     assert jaccard_join.near_groups(empty).count() == 0 and jaccard_join.keep_first(empty).count() == 0
     kept = jaccard_join.keep_first(edge)
