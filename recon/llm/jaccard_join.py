@@ -50,6 +50,7 @@ SEEN_SETS = 500_000
 SKETCH_BITS = 512
 #: Shingles of a set whose sketch takes all of them.
 SKETCHED = 1_400
+QUARTERINGS = 5
 #: Standard deviations of a full sketch's differing places, by which neighbours may differ more than a link makes expect.
 SPREAD = 3
 #: Entries of a list that are all compared with each other; longer lists are cut into blocks of size first.
@@ -103,7 +104,7 @@ def digests(owner: np.ndarray, mark: np.ndarray, rows: int) -> np.ndarray:
 
 def _fourths(size: np.ndarray | Column) -> np.ndarray | Column:
     """How often the shingles of sets of these sizes are quartered for their sketches; by whole numbers, so that both ways agree."""
-    steps = (size > SKETCHED * 4**k for k in range(12))
+    steps = (size > SKETCHED * 4**k for k in range(QUARTERINGS))
     if isinstance(size, np.ndarray):
         return sum(x.astype(int) for x in steps)
     return functools.reduce(lambda a, b: a + b, [x.cast("int") for x in steps])
@@ -136,9 +137,9 @@ def _least_distance(a: str, b: str) -> Column:
 def _likely(a: str, b: str, percent: int) -> Column:
     """Whether sketches of the same share differ in no more places than those of linked sets do, chance included; proves nothing."""
     level = _fourths(F.col(f"{a}_size"))
-    apart = (F.col(f"{a}_size") + F.col(f"{b}_size")) * F.lit((100 - percent) / (100 + percent)) / F.pow(F.lit(4.0), level)
-    places = SKETCH_BITS / 2 * (1 - F.exp(-2 * apart / SKETCH_BITS)) + SPREAD * math.sqrt(SKETCH_BITS) / 2
-    return (level == _fourths(F.col(f"{b}_size"))) & (_apart(a, b) <= places)
+    most = (F.col(f"{a}_size") + F.col(f"{b}_size")) * F.lit((100 - percent) / (100 + percent)) + 1e-6  # apart, of linked sets
+    places = SKETCH_BITS / 2 * (1 - F.exp(-2 / SKETCH_BITS * most / F.pow(F.lit(4.0), level))) + SPREAD * math.sqrt(SKETCH_BITS) / 2
+    return (level == _fourths(F.col(f"{b}_size"))) & (_apart(a, b) <= F.least(most, places))
 
 
 def _surveyed(docs: DataFrame, width: int) -> DataFrame:
@@ -269,8 +270,8 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame,
             F.lag(c, k).over(order).alias(f"a{k}_{name}") for k in range(1, LAGS + 1)
             for c, name in (("key", "key"), ("band", "band"), ("n", "size"), ("sketch", "sketch"))])
         ways = [F.when((F.col(f"a{k}_band") != F.col("b_band")) & _room(F.col(f"a{k}_size"), F.col("b_size"), percent)
-                       & (_least_distance(f"a{k}", "b") <= limit) & _likely(f"a{k}", "b", percent),
-                       F.struct(_least_distance(f"a{k}", "b").alias("apart"), F.col(f"a{k}_key").alias("a"), "b"))
+                       & _likely(f"a{k}", "b", percent),
+                       F.struct((_apart(f"a{k}", "b") / (F.col(f"a{k}_size") + F.col("b_size"))).alias("apart"), F.col(f"a{k}_key").alias("a"), "b"))
                 for k in range(1, LAGS + 1)]
         beside = (before.select("b_band", F.array_min(F.array(*ways)).alias("way")).where("way IS NOT NULL")
                   .groupBy("b_band").agg(F.min("way").alias("way")).select("way.a", "way.b"))
