@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
+from recon.operators import grading
 from recon.operators.reconcile import diff_many
+from recon.plans import runs
 from recon.sources.store import ASKED_BUCKETS, TableStore
 
 
@@ -41,6 +45,27 @@ def test_parts_are_one_table_written_apart(spark):
         store.parts("unlike", {"a": lambda: spark.range(1), "b": lambda: spark.range(1).withColumnRenamed("id", "x")})
 
 
+def test_a_job_has_few_runs(spark, tmp_path, monkeypatch):
+    spark.range(50).select(F.col("id").alias("x")).write.parquet(str(tmp_path / "t"))
+    box = grading.Sandbox(spark)
+    box.register({"t": box.session.read.parquet(str(tmp_path / "t"))})
+    jobs, run = [], grading.executed
+
+    def counted(plans, write):
+        jobs.append(len(plans))
+        return run(plans, write)
+
+    monkeypatch.setattr(grading, "executed", counted)
+    texts = [("d", f"SELECT x FROM t WHERE x < {i}") for i in range(20)] + [("d", "SELECT raise_error('broken') FROM t")]
+    frame = runs.named_texts(spark.createDataFrame(texts, "defect_id string, diagnostic_sql string"), "diagnostic_sql")
+    bench = SimpleNamespace(spark=spark, store=TableStore(spark))
+    ran = runs.PlanRuns(bench, lambda side, defect_id: box, "few", ("trap",)).execute(frame, grading.row_count, "n_rows bigint, n_chars bigint")
+    assert sum(n for n in jobs if n >= runs.JOB_RUNS) >= 16 and max(jobs) <= runs.JOB_RUNS
+    counts = ran.results("defect_id string, candidate string, side string, n_rows bigint, n_chars bigint")
+    assert sorted(r.n_rows for r in counts.collect()) == list(range(20))
+    assert ran.outcomes().where("error <> ''").count() == 1 and ran.outcomes().count() == 21
+
+
 def test_null_keys_are_sought_in_the_plain_layout(spark, tmp_path):
     rows = [(1, 1, 5), (1, None, 6), (None, None, 7), (None, None, 8), (2, 2, None), (2, 2, 9)]
     other = [(1, 1, 5), (1, None, 4), (None, None, 7), (3, None, 1)]
