@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from recon.operators import grading
+from recon.operators import grading, sampling
 from recon.operators.reconcile import diff_many
 from recon.plans import runs
 from recon.sources.store import ASKED_BUCKETS, TableStore
@@ -83,3 +83,16 @@ def test_null_keys_are_sought_in_the_plain_layout(spark, tmp_path):
     assert bucketed(got) == 2 < bucketed(want)  # before they run
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert {r.flagged_pk for r in got.collect()} == {"1:\\N", "\\N:\\N", "2:2", "3:\\N"}
+
+
+def test_numbering_sends_no_blocks_through_the_driver(spark):
+    keys = spark.range(9_000).select(F.concat(F.lit("c"), F.col("id") % 2).alias("class"), F.lit(7).cast("long").alias("seed"), F.col("id").cast("string").alias("key"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        numbered = sampling.numbered(keys, "class", "seed", "key")
+        assert "Broadcast" not in numbered._jdf.queryExecution().executedPlan().toString()
+        got = numbered.groupBy("class").agg(F.count("*").alias("n"), F.countDistinct("number").alias("d"), F.min("number").alias("a"), F.max("number").alias("z")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert {(r.n, r.d, r.a, r.z) for r in got} == {(4_500, 4_500, 0, 4_499)}
