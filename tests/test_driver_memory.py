@@ -27,6 +27,13 @@ def test_many_shuffle_partitions_ask_for_bounded_buckets(spark):
     assert got == {3: 3, 600: ASKED_BUCKETS}
 
 
+def test_large_tables_are_written_by_few_jobs_at_a_time(spark):
+    store = TableStore(spark)
+    most = store.workers()._max_workers
+    store.buckets = 4 * spark.sparkContext.defaultParallelism + 1
+    assert store.workers()._max_workers < most <= 4
+
+
 def test_parts_are_one_table_written_apart(spark):
     store = TableStore(spark)
     built = []
